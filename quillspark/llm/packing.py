@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import VOCABULARY, Encoder, text_batches
+from .tokens import VOCABULARY, encoder, text_batches
 
 SIZE, END = 1024, 2
 #: Rounds of the multiplicative weights, the part of a length that a round serves, and how fast a served length loses weight.
@@ -36,10 +36,10 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = END, vocabulary: str =
         import numpy as np
         import pyarrow as pa
 
-        encoder, last = Encoder(vocabulary), np.asarray([end], dtype="<u4").tobytes()
+        known, last = encoder(vocabulary), np.asarray([end], dtype="<u4").tobytes()
         for (ids,), texts in text_batches(batches, ["doc_id"]):
             rows: list[list] = [[], [], [], [], []]
-            for doc, raw in zip(ids.to_pylist(), encoder.encode(texts)):
+            for doc, raw in zip(ids.to_pylist(), known.encode(texts)):
                 raw += last
                 n = len(raw) // 4
                 edges = [0, *range((n - 1) % size + 1, n + 1, size)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import VOCABULARY, Encoder, text_batches, tokenizer
+from .tokens import VOCABULARY, encoder, text_batches, tokenizer
 
 END, BLOCK, SAMPLE = 0, 1 << 20, 256
 BLOCKS = "part int, block int, doc_ids array<long>, n_tokens long, width int, ids binary, low_bits int, ends_low binary, ends_high binary, samples binary"
@@ -71,7 +71,7 @@ def blocks(docs: DataFrame, end: int = END, vocabulary: str = VOCABULARY, block:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part, number = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        known, part, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
         width = 2 if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else 4
         last = np.asarray([end], "<u4").tobytes()
         ids: list = []
@@ -89,7 +89,7 @@ def blocks(docs: DataFrame, end: int = END, vocabulary: str = VOCABULARY, block:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for (docs_ids,), texts in text_batches(batches, ["doc_id"]):
-            for doc, raw in zip(docs_ids.to_pylist(), encoder.encode(texts)):
+            for doc, raw in zip(docs_ids.to_pylist(), known.encode(texts)):
                 ids.append(doc)
                 kept.append(raw + last)
                 n += len(raw) // 4 + 1

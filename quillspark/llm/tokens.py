@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from functools import cache
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of each cache of a worker; a full cache is emptied.
-CACHE_WORDS = 400_000
+#: Entries of each cache of a worker process, about 150 bytes each; a full cache is emptied.
+CACHE_WORDS = 1_000_000
 #: Characters that are split at a time.
 BATCH_CHARS = 1_000_000
 
@@ -113,6 +113,12 @@ class Encoder:
                 yield self.whole(text)
 
 
+@cache
+def encoder(name: str = VOCABULARY) -> Encoder:
+    """One for each worker process, so that tasks share its cache."""
+    return Encoder(name)
+
+
 def text_batches(batches, columns: list[str]):
     """Arrow batches as (columns, texts); null texts are empty."""
     for b in batches:
