@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "substring", "tokenfile", "quality", "decontam")
+MODULES = ("packing", "substring", "tokenfile", "quality", "decontam", "lines", "neardup")
 
 
 def queries() -> dict:
