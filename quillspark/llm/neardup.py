@@ -67,19 +67,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1.0 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
-def _sketches(batches):
-    import pyarrow as pa
+def _sketches(shingle: int):
+    def run(batches):
+        import pyarrow as pa
 
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            for s in shingle_sets(texts):
-                regs = sketch(s) if len(s) else None
-                d1, d2 = (s.sum(dtype=U), mix(s + U(1)).sum(dtype=U)) if len(s) else (U(0), U(0))
-                for col, x in zip(out, (len(s), int(np.int64(d1.view(np.int64))), int(np.int64(d2.view(np.int64))), regs.tobytes() if len(s) else None, None)):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n", "d1", "d2", "registers"])
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                out: list[list] = [[], [], [], []]
+                texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+                for s in shingle_sets(texts, shingle):
+                    d1, d2 = (s.sum(dtype=U), mix(s + U(1)).sum(dtype=U)) if len(s) else (U(0), U(0))
+                    for col, x in zip(out, (len(s), int(np.int64(d1.view(np.int64))), int(np.int64(d2.view(np.int64))), sketch(s).tobytes() if len(s) else None)):
+                        col.append(x)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n", "d1", "d2", "registers"])
+
+    return run
 
 
 def _bands(batches):
@@ -132,12 +134,15 @@ def _promising(percent: int):
     return run
 
 
-def _sets(batches):
-    import pyarrow as pa
+def _sets(shingle: int):
+    def run(batches):
+        import pyarrow as pa
 
-    with np.errstate(over="ignore"):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets([(t or "").encode() for t in b.column("text").to_pylist()])], pa.binary())], ["id", "s"])
+        with np.errstate(over="ignore"):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets([(t or "").encode() for t in b.column("text").to_pylist()], shingle)], pa.binary())], ["id", "s"])
+
+    return run
 
 
 def _linked(percent: int):
@@ -160,8 +165,8 @@ def _linked(percent: int):
 class Trials:
     """Tries pairs of classes: sketches first, then full sets, which are read from the texts of those classes that come up."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
-        self.docs, self.reps, self.percent = docs, reps, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int, shingle: int):
+        self.docs, self.reps, self.percent, self.shingle = docs, reps, percent, shingle
 
     def links(self, pairs: DataFrame) -> Written:
         """The pairs(u, v) that are links, and in .tried all that were."""
@@ -170,7 +175,7 @@ class Trials:
         good = Written(full.mapInArrow(_promising(self.percent), "u long, v long"), "pairs")
         need = good.df.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         texts = self.docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("t")).join(need, "id", "left_semi")
-        sets = Written(texts.select("id", "text").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id"]), "sets")
+        sets = Written(texts.select("id", "text").mapInArrow(_sets(self.shingle), "id long, s binary").dropDuplicates(["id"]), "sets")
         a, b = sets.df.select(F.col("id").alias("u"), F.col("s").alias("sa")), sets.df.select(F.col("id").alias("v"), F.col("s").alias("sb"))
         found = Written(good.df.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_linked(self.percent), "u long, v long"), "links")
         good.drop()
@@ -178,9 +183,9 @@ class Trials:
         return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    rows = Written(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n long, d1 long, d2 long, registers binary"), "sketches").df
+    rows = Written(docs.select("doc_id", "text").mapInArrow(_sketches(shingle), "doc_id long, n long, d1 long, d2 long, registers binary"), "sketches").df
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = Written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes").df
     reps = Written(full.join(classes, ["n", "d1", "d2"]).where("doc_id = rep").dropDuplicates(["n", "d1", "d2"]).select(F.col("doc_id").alias("id"), "n", "registers"), "reps").df
@@ -188,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # bands of one member link nothing
     shared = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     members = Written(bands.join(shared.select("band"), "band"), "members").df
-    trials = Trials(docs, reps, percent)
+    trials = Trials(docs, reps, percent, shingle)
     tried = None
     links = None
     labelled = members.select("id", "band", F.col("id").alias("c"))
@@ -221,9 +226,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """docs without those that aren't the first of their component; rows without a doc_id stay."""
-    gone = near_duplicates(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent, shingle).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
