@@ -3,12 +3,12 @@
 Each document's set of word shingles gets a SetSketch: registers that hold the truncated logarithm, in steps of
 BASE, of the least of exponentially spaced values; registers of a union are the greater of both. Documents with one
 set are one class, shown by its least doc_id. Bands of registers gather classes that may be alike. Links to a
-band's first member are tried first and joined to components; then members of one band that are still apart are
+few members of a band are tried first and joined to components; then members of one band that are still apart are
 tried with each other, until every pair that shares a band is linked, tried or in one component. Each trial
 estimates the similarity from both sketches by maximum likelihood, leaves out what is far below the threshold
 (MARGIN standard errors), and confirms the others on their full sets.
 
-A pair at the threshold shares none of the bands with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
+A pair at the threshold shares none of the bands with a probability of (1 - 0.8 ** 5) ** 32 = 3e-6.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts of fewer words than a
 shingle are one shingle; repeated rows are copies of each other, and rows with one doc_id share their fate; a null
@@ -26,10 +26,13 @@ from .components import components
 from .wordhash import SEED, U, chunks, hash_words, mix
 
 SHINGLE, PERCENT = 4, 80
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 32, 5
 BASE, RATE, TOP = 1.001, 20.0, 65534
 MARGIN = 6.0
-HUBS = 3
+#: Members of a band that the others are tried with at first: one for each choice, the same in most bands of a group.
+HUBS = 4
+#: Bits of the filter that keeps the texts of other documents out of a shuffle: 4 MB at any size of the corpus. A full filter lets more pass, and the join after it is exact.
+FILTER_BITS, BITMAP = 1 << 25, 1 << 15
 REGISTERS = BANDS * ROWS
 MULTIPLIERS = SEED.integers(1, 2**64, REGISTERS, dtype=U) | U(1)
 OFFSETS = SEED.integers(1, 2**64, REGISTERS, dtype=U)
@@ -85,7 +88,7 @@ def _sketches(shingle: int):
 
 
 def _bands(batches):
-    """id, band: one row for each band of a sketch; the band's number is part of its hash."""
+    """id, n, kind, band: one row for each band of a sketch; the band's number is part of its hash."""
     import pyarrow as pa
 
     with np.errstate(over="ignore"):
@@ -96,8 +99,9 @@ def _bands(batches):
             h = np.broadcast_to(np.arange(BANDS, dtype=U) + U(1), regs.shape[:2]).copy()
             for r in range(ROWS):
                 h = mix(h * U(0x9E3779B97F4A7C15) + regs[:, :, r])
-            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.ravel().view(np.int64))], ["id", "band"])
+            ids, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("id", "n"))
+            kind = np.tile(np.arange(BANDS, dtype=np.int32) % HUBS, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int32)), pa.array(kind), pa.array(h.ravel().view(np.int64))], ["id", "n", "kind", "band"])
 
 
 def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -162,6 +166,15 @@ def _linked(percent: int):
     return run
 
 
+def maybe_in(df: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of df(id, ...) whose id may be in need(id): a filter of one hash and FILTER_BITS bits, held by every task."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    maps = need.select(bit.alias("b")).groupBy(F.expr(f"b div {BITMAP}").alias("map")).agg(F.bitmap_construct_agg(F.col("b") % BITMAP).alias("bits"))
+    placed = df.withColumn("_b", bit).withColumn("map", F.expr(f"_b div {BITMAP}")).join(F.broadcast(maps), "map")
+    byte = F.conv(F.hex(F.substr("bits", F.expr(f"cast((_b % {BITMAP}) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    return placed.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_b % 8 as int))")) != 0).select(df.columns)
+
+
 class Trials:
     """Tries pairs of classes: sketches first, then full sets, which are read from the texts of those classes that come up."""
 
@@ -174,7 +187,7 @@ class Trials:
         full = pairs.join(side("u", "na", "ra"), "u").join(side("v", "nb", "rb"), "v").select("u", "v", "na", "nb", "ra", "rb")
         good = Written(full.mapInArrow(_promising(self.percent), "u long, v long"), "pairs")
         need = good.df.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("t")).join(need, "id", "left_semi")
+        texts = maybe_in(self.docs.select(F.col("doc_id").alias("id"), "text"), need).join(need, "id", "left_semi")
         sets = Written(texts.select("id", "text").mapInArrow(_sets(self.shingle), "id long, s binary").dropDuplicates(["id"]), "sets")
         a, b = sets.df.select(F.col("id").alias("u"), F.col("s").alias("sa")), sets.df.select(F.col("id").alias("v"), F.col("s").alias("sb"))
         found = Written(good.df.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_linked(self.percent), "u long, v long"), "links")
@@ -189,35 +202,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = Written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes").df
     reps = Written(full.join(classes, ["n", "d1", "d2"]).where("doc_id = rep").dropDuplicates(["n", "d1", "d2"]).select(F.col("doc_id").alias("id"), "n", "registers"), "reps").df
-    bands = Written(reps.select("id", "registers").mapInArrow(_bands, "id long, band long"), "bands").df
+    bands = Written(reps.select("id", "n", "registers").mapInArrow(_bands, "id long, n int, kind int, band long"), "bands")
     # bands of one member link nothing
-    shared = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    members = Written(bands.join(shared.select("band"), "band"), "members").df
+    shared = bands.df.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    members = Written(bands.df.join(shared.select("band"), "band"), "members").df
+    bands.drop()
     trials = Trials(docs, reps, percent, shingle)
-    tried = None
-    links = None
-    labelled = members.select("id", "band", F.col("id").alias("c"))
-    for hub in range(HUBS):
-        # a band's hub is another member each time; it is tried with the members of other components
-        by = F.col("id") if hub == 0 else F.xxhash64("id", F.lit(hub))
-        hubs = labelled.groupBy("band").agg(F.min(F.struct(by.alias("k"), "id", "c")).alias("h"), F.min("c").alias("ca"), F.max("c").alias("cb")).where("ca < cb").select("band", F.col("h.id").alias("hub"), F.col("h.c").alias("hc"))
-        pairs = labelled.join(hubs, "band").where("c <> hc").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        fresh = Written(pairs, "hub-pairs").df
-        if links is not None and fresh.isEmpty():
-            break
-        new = trials.links(fresh).df
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        links = new if links is None else links.unionByName(new)
-        parts = Written(components(links), "parts").df
-        labelled = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
+    close = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
+    # a band's hub is tried with its other members
+    hubs = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "kind").alias("k"), "id", "n")).alias("h")).select("band", F.col("h.id").alias("hub"), F.col("h.n").alias("nv"))
+    pairs = members.withColumnRenamed("n", "nu").join(hubs, "band").where("id <> hub").where(close).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+    tried = Written(pairs, "hub-pairs").df
+    links = trials.links(tried).df
+    parts = Written(components(links), "parts").df
     # the exact rest: pairs of one band that are still in different components and haven't been tried
-    one = Written(labelled, "labelled").df
+    one = Written(members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "band", F.coalesce("component", "id").alias("c")), "labelled").df
     mixed = one.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("band")
     left = one.join(mixed, "band")
-    x, y = left.select("band", F.col("id").alias("u"), F.col("c").alias("cu")), left.select("band", F.col("id").alias("v"), F.col("c").alias("cv"))
-    rest = x.join(y, "band").where("u < v AND cu <> cv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+    x, y = (left.select("band", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in ("u", "v"))
+    rest = x.join(y, "band").where("u < v AND cu <> cv").where(close).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
     links = links.unionByName(trials.links(Written(rest, "rest-pairs").df).df)
     parts = Written(components(links), "parts").df
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
