@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 5
 BASE, RATE, TOP = 1.001, 20.0, 65534
 MARGIN = 6.0
 #: Members of a band that the others are tried with at first: one for each choice, the same in most bands of a group.
-HUBS = 4
+HUBS = 16
 #: Bits of the filter that keeps the texts of other documents out of a shuffle: 4 MB at any size of the corpus. A full filter lets more pass, and the join after it is exact.
 FILTER_BITS, BITMAP = 1 << 25, 1 << 15
 REGISTERS = BANDS * ROWS
@@ -187,7 +187,7 @@ class Trials:
         full = pairs.join(side("u", "na", "ra"), "u").join(side("v", "nb", "rb"), "v").select("u", "v", "na", "nb", "ra", "rb")
         good = Written(full.mapInArrow(_promising(self.percent), "u long, v long"), "pairs")
         need = good.df.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        texts = maybe_in(self.docs.select(F.col("doc_id").alias("id"), "text"), need).join(need, "id", "left_semi")
+        texts = maybe_in(self.docs.select(F.col("doc_id").alias("id"), "text"), need).join(need, "id")  # a semi-join would be pushed below the filter
         sets = Written(texts.select("id", "text").mapInArrow(_sets(self.shingle), "id long, s binary").dropDuplicates(["id"]), "sets")
         a, b = sets.df.select(F.col("id").alias("u"), F.col("s").alias("sa")), sets.df.select(F.col("id").alias("v"), F.col("s").alias("sb"))
         found = Written(good.df.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_linked(self.percent), "u long, v long"), "links")
