@@ -258,10 +258,15 @@ def case_identity(spark, sf_dir):
     return b.cases(spark, sf_dir).select("case_id", evidence.case_identity(F.col("path"), F.col("name"), F.sha2("name", 256)).alias("identity"))
 
 
+def _text(x: str) -> str:
+    """A SQL literal; DuckDB takes backslashes as they are."""
+    return "'" + x.replace("'", "''") + "'"
+
+
 _GLOBS = ("**/en/*", "*.html", "*example.{com,net}/**")
 
 
-@registered(f"SELECT page_id, {', '.join(f'regexp_matches(path, '{evidence.glob_pattern(g)}') AS g{i}' for i, g in enumerate(_GLOBS))} FROM ({b.PATHS_SQL}) p")
+@registered(f"SELECT page_id, {', '.join(f'regexp_matches(path, {_text(evidence.glob_pattern(g))}) AS g{i}' for i, g in enumerate(_GLOBS))} FROM ({b.PATHS_SQL}) p")
 def glob_match(spark, sf_dir):
     return b.paths(spark, sf_dir).select("page_id", *[F.col("path").rlike(evidence.glob_pattern(g)).alias(f"g{i}") for i, g in enumerate(_GLOBS)])
 
@@ -269,7 +274,7 @@ def glob_match(spark, sf_dir):
 _DENY = (*evidence.DENIED, "**/es/**", "*.html")
 
 
-@registered(f"SELECT page_id, CASE {' '.join(f"WHEN regexp_matches(path, '{evidence.glob_pattern(g)}') THEN 'deny-list:{g}'" for g in _DENY)} END AS rule FROM ({b.PATHS_SQL}) p")
+@registered(f"SELECT page_id, CASE {' '.join(f"WHEN regexp_matches(path, {_text(evidence.glob_pattern(g))}) THEN 'deny-list:{g}'" for g in _DENY)} END AS rule FROM ({b.PATHS_SQL}) p")
 def deny_rule(spark, sf_dir):
     return b.paths(spark, sf_dir).select("page_id", evidence.denied_by(F.col("path"), _DENY).alias("rule"))
 
