@@ -12,10 +12,10 @@ from collections.abc import Iterator
 from functools import cache
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of each cache of a worker process, about 150 bytes each; a full cache is emptied.
-CACHE_WORDS = 1_000_000
+#: Parts that a worker process knows at a time, about 60 bytes each; beyond it only those of the last texts stay.
+CACHE_WORDS = 2_000_000
 #: Characters that are split at a time.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 8_000_000
 
 
 @cache
@@ -27,50 +27,70 @@ def tokenizer(name: str):
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as bytes. A part is a line feed and the first word of a line, or another word of a line."""
 
     def __init__(self, name: str = VOCABULARY):
         import numpy as np
+        import pyarrow as pa
 
         self.np, self.tok = np, tokenizer(name)
-        self.feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.feed = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.specials = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.one = self._bytes(self.feed)
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    def _bytes(self, ids) -> bytes:
-        return self.np.asarray(ids, dtype="<u4").tobytes()
+        # start and length say where the ids of known parts are in pool; a part that can't be encoded apart has none
+        self.known = pa.array([], pa.string())
+        self.pool = self.np.zeros(0, "<u4")
+        self.start = self.length = self.np.zeros(0, self.np.int64)
+
+    def _keep(self, rows) -> None:
+        """Forgets all other parts."""
+        at = rows.to_numpy()
+        self.known, length = self.known.take(rows), self.length[at]
+        ends = self.np.cumsum(length)
+        self.pool = self._gather(self.start[at], length, ends)
+        self.start, self.length = ends - length, length
+
+    def _gather(self, start, length, ends):
+        """The ids of rows, one after another."""
+        np = self.np
+        return self.pool[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
     def whole(self, text: str) -> bytes:
-        return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, known: dict, words: set, lead: str) -> None:
-        """Puts the ids of lead + word into known; None for words that can't be encoded apart."""
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
-        usable = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace() or any(s in w for s in self.specials):
-                known[w] = None
-            else:
-                usable.append(w)
-        ids = self._ids("\n".join([lead + w for w in usable])) if usable else None
-        if ids is None:
-            return
+        return self.np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _apart(self, part: str) -> bool:
+        word = part.removeprefix("\n")
+        return bool(word) and not word[0].isspace() and not word[-1].isspace() and not any(s in word for s in self.specials)
+
+    def _learn(self, new) -> None:
+        """Takes an array of parts in."""
+        import pyarrow as pa
+
+        np, parts = self.np, new.to_pylist()
+        apart = np.fromiter(map(self._apart, parts), bool, len(parts))
+        usable = [p for p, a in zip(parts, apart) if a]
+        start, length = np.zeros((2, len(parts)), np.int64)
+        if usable:
+            ids, start[apart], length[apart] = self._ids(usable)
+            start += len(self.pool)
+            self.pool = np.concatenate([self.pool, ids])
+        self.known = pa.concat_arrays([self.known, new])
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+
+    def _ids(self, usable: list[str]):
+        """Ids of all, and where each part's begin and how many they are."""
         np = self.np
-        at = np.flatnonzero(ids == self.feed[0])
-        edges = np.concatenate([[-1], at, [len(ids)]])
-        if len(edges) != len(usable) + 1:
-            for w in usable:
-                known[w] = self.whole(lead + w)
-            return
-        raw = ids.tobytes()
-        for k, w in enumerate(usable):
-            known[w] = raw[4 * (edges[k] + 1) : 4 * edges[k + 1]]
-
-    def _ids(self, text: str):
-        return self.np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        # other parts stand behind a space; each is followed by a line feed, and a part's own line feed is the one before it
+        lines = [p[1:] if p[0] == "\n" else " " + p for p in usable]
+        ids = np.asarray(self.tok.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.concatenate([[self.feed], ids]).astype("<u4")
+        first = np.flatnonzero(ids == self.feed)
+        if len(first) != len(usable):  # a word holds a line feed of its own
+            rows = [np.frombuffer(self.whole(x), "<u4") for x in lines]
+            ids = np.concatenate([np.concatenate([[self.feed], r]) for r in rows]).astype("<u4")
+            first = np.cumsum([0, *(len(r) + 1 for r in rows[:-1])])
+        own = np.fromiter((p[0] == "\n" for p in usable), bool, len(usable))
+        begin = first + ~own
+        return ids, begin, np.append(first[1:], len(ids)) - begin
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         start = 0
@@ -83,34 +103,28 @@ class Encoder:
             start = end
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        first, later = set(), set()
-        for lines in split:
-            for p in lines:
-                first.add(p[0])
-                later.update(p[1:])
-        for known, words, lead in ((self.first, first, ""), (self.later, later, " ")):
-            new = words - known.keys()
-            if new:
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = words
-                self._learn(known, new, lead)
-        one, a, b = self.one, self.first, self.later
-        for text, lines in zip(texts, split):
-            if not text:
-                yield b""
-                continue
-            out: list = []
-            for p in lines:
-                out.append(a[p[0]])
-                out += [b[x] for x in p[1:]]
-                out.append(one)
-            out.pop()
-            try:
-                yield b"".join(out)
-            except TypeError:  # a part that can't be encoded apart
-                yield self.whole(text)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        lines = pc.replace_substring(pa.array(texts, pa.string()), pattern="\n", replacement=" \n")
+        parts = pc.split_pattern(pc.binary_join_element_wise("\n", lines, ""), " ")
+        coded = parts.values.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(pc.is_null(at))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self._keep(at.drop_null())
+        self._learn(new)
+        rows = pc.index_in(coded.dictionary, value_set=self.known).to_numpy()[coded.indices.to_numpy()]
+        length = self.length[rows]
+        ends = np.cumsum(length)
+        ids = self._gather(self.start[rows], length, ends)
+        edges = parts.offsets.to_numpy()
+        place = np.concatenate([[0], ends])[edges]
+        odd = np.add.reduceat(length == 0, edges[:-1])
+        for k, text in enumerate(texts):
+            # the line feed before the text isn't its own
+            yield b"" if not text else self.whole(text) if odd[k] else ids[place[k] + 1 : place[k + 1]].tobytes()
 
 
 @cache
