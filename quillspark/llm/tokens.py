@@ -13,9 +13,11 @@ from functools import cache
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Parts that a worker process knows at a time, about 60 bytes each; beyond it only those of the last texts stay.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_200_000
+#: Parts that are encoded at a time.
+LEARN_WORDS = 30_000
 #: Characters that are split at a time.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 5_000_000
 
 
 @cache
@@ -111,11 +113,16 @@ class Encoder:
         parts = pc.split_pattern(pc.binary_join_element_wise("\n", lines, ""), " ")
         coded = parts.values.dictionary_encode()
         at = pc.index_in(coded.dictionary, value_set=self.known)
-        new = coded.dictionary.filter(pc.is_null(at))
+        unknown = pc.is_null(at)
+        new, unknown = coded.dictionary.filter(unknown), unknown.to_numpy(zero_copy_only=False)
+        places = at.fill_null(0).to_numpy().astype(np.int64)
         if len(self.known) + len(new) > CACHE_WORDS:
             self._keep(at.drop_null())
-        self._learn(new)
-        rows = pc.index_in(coded.dictionary, value_set=self.known).to_numpy()[coded.indices.to_numpy()]
+            places[~unknown] = np.arange(len(self.known))
+        places[unknown] = np.arange(len(new)) + len(self.known)
+        for k in range(0, len(new), LEARN_WORDS):
+            self._learn(new.slice(k, LEARN_WORDS))
+        rows = places[coded.indices.to_numpy()]
         length = self.length[rows]
         ends = np.cumsum(length)
         ids = self._gather(self.start[rows], length, ends)
