@@ -164,6 +164,15 @@ def test_lines(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_with_one_changed_word(spark):
+    r = random.Random(6)
+    made = [["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8 + i)] for i in range(24)]
+    changed = [" ".join(w[: i % 8] + ["other"] + w[i % 8 + 1 :]) for i, w in enumerate(made)]
+    df = spark.createDataFrame([(1, "\n".join(map(" ".join, made))), (2, "\n".join(changed))], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in lines.dedup_lines(df).collect()}
+    assert out[1] == df.first().text and out[2] == ""
+
+
 def test_near_duplicates(spark, docs, none):
     assert rows(neardup.near_duplicates(docs)) == brute.near(DOCS)
     assert rows(neardup.near_duplicates(docs, shingle=5)) == brute.near(DOCS, 5)
