@@ -173,6 +173,18 @@ def test_lines_with_one_changed_word(spark):
     assert out[1] == df.first().text and out[2] == ""
 
 
+def test_lines_alike_beside_others_of_their_key(spark):
+    # permuted fields have the same word pairs, so all lines share all bands; each is alike to its own copy alone
+    r = random.Random(8)
+    fields = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)]
+    orders = [r.sample(fields, len(fields)) for _ in range(8)]
+    line = lambda x: f"or {' or '.join(x)} or"
+    made, copies = [line(x) for x in orders], [line([x[0], *x]) for x in orders]
+    df = spark.createDataFrame([(1, "\n".join(made)), (2, "\n".join(copies))], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in lines.dedup_lines(df).collect()}
+    assert out[1] == df.first().text and out[2] == ""
+
+
 def test_near_duplicates(spark, docs, none):
     assert rows(neardup.near_duplicates(docs)) == brute.near(DOCS)
     assert rows(neardup.near_duplicates(docs, shingle=5)) == brute.near(DOCS, 5)
