@@ -185,6 +185,14 @@ def test_lines_alike_beside_others_of_their_key(spark):
     assert out[1] == df.first().text and out[2] == ""
 
 
+def test_lines_without_spaces(spark):
+    r = random.Random(9)
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40))
+    df = spark.createDataFrame([(1, han), (2, f"{han[:20]}山{han[21:]}"), (3, han)], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in lines.dedup_lines(df).collect()}
+    assert out == {1: han, 2: "", 3: ""}
+
+
 def test_near_duplicates(spark, docs, none):
     assert rows(neardup.near_duplicates(docs)) == brute.near(DOCS)
     assert rows(neardup.near_duplicates(docs, shingle=5)) == brute.near(DOCS, 5)
