@@ -1,27 +1,32 @@
 """Operator 9: near-duplicates by SetSketch.
 
 Each document's set of word shingles gets a SetSketch: registers that hold the truncated logarithm, in steps of
-BASE, of the least of exponentially spaced values; registers of a union are the greater of both. Documents with one
-set are one class, shown by its least doc_id. Bands of registers gather classes that may be alike. Links to a
-few members of a band are tried first and joined to components; then members of one band that are still apart are
-tried with each other, until every pair that shares a band is linked, tried or in one component. Each trial
-estimates the similarity from both sketches by maximum likelihood, leaves out what is far below the threshold
-(MARGIN standard errors), and confirms the others on their full sets.
-
-A pair at the threshold shares none of the bands with a probability of (1 - 0.8 ** 5) ** 32 = 3e-6.
+BASE, of the least of exponentially spaced values; registers of a union are the greater of both. Rows with one set
+are one class, whatever their doc_id. Bands of registers gather classes that may be alike. Links to a few members
+of a band are tried first and joined to components; then members of one band that are still apart are paired,
+until every pair that shares a band is linked, ruled out or in one component. Two small sketches are compared inside
+that join, so pairs that only share a band, or are a little below the threshold, are no rows of it: CODES of two bits
+of each register have to agree often enough, and the parities of ODD counters of the sets' members differ in at most
+as many places as the sets do, which rules pairs out for sure. Each trial estimates the similarity from both sketches
+by maximum likelihood, leaves out what is far below the threshold (MARGIN standard errors), and confirms the others on
+their full sets.
+
+A pair at the threshold shares none of the bands with a probability of (1 - 0.8 ** 5) ** 32 = 3e-6; its codes differ
+too often with less than 1e-6.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; texts of fewer words than a
-shingle are one shingle; repeated rows are copies of each other, and rows with one doc_id share their fate; a null
-doc_id is returned with its own null component and not kept; an empty table gives an empty table.
+shingle are one shingle; rows with one doc_id and different texts are linked each by its own text; repeated rows
+share their fate; a null doc_id is returned with its own null component and not kept; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, table
+from .common import Written, table, text_or_empty
 from .components import components
 from .wordhash import SEED, U, chunks, hash_words, mix
 
@@ -34,6 +39,10 @@ HUBS = 16
 #: Bits of the filter that keeps the texts of other documents out of a shuffle: 4 MB at any size of the corpus. A full filter lets more pass, and the join after it is exact.
 FILTER_BITS, BITMAP = 1 << 25, 1 << 15
 REGISTERS = BANDS * ROWS
+#: Codes of two bits, one for each register, 32 to a long.
+CODES = REGISTERS // 32
+#: Parities of so many counters of a set's members, as longs of 64.
+ODD = 8
 MULTIPLIERS = SEED.integers(1, 2**64, REGISTERS, dtype=U) | U(1)
 OFFSETS = SEED.integers(1, 2**64, REGISTERS, dtype=U)
 
@@ -70,19 +79,24 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1.0 - np.log(x) / np.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Whether an odd number of a set's members falls on each of 64 * ODD counters. Those of two sets differ in at most as many as the sets do."""
+    return np.packbits((np.bincount((s >> U(20)).astype(np.int64) & (64 * ODD - 1), minlength=64 * ODD) & 1).astype(np.uint8)).tobytes()
+
+
 def _sketches(shingle: int):
     def run(batches):
         import pyarrow as pa
 
         with np.errstate(over="ignore"):
             for batch in batches:
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
                 for s in shingle_sets(texts, shingle):
                     d1, d2 = (s.sum(dtype=U), mix(s + U(1)).sum(dtype=U)) if len(s) else (U(0), U(0))
-                    for col, x in zip(out, (len(s), int(np.int64(d1.view(np.int64))), int(np.int64(d2.view(np.int64))), sketch(s).tobytes() if len(s) else None)):
+                    for col, x in zip(out, (len(s), int(np.int64(d1.view(np.int64))), int(np.int64(d2.view(np.int64))), sketch(s).tobytes() if len(s) else None, parities(s))):
                         col.append(x)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n", "d1", "d2", "registers"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())))], ["doc_id", "t1", "t2", "n", "d1", "d2", "registers", "odd"])
 
     return run
 
@@ -104,6 +118,38 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int32)), pa.array(kind), pa.array(h.ravel().view(np.int64))], ["id", "n", "kind", "band"])
 
 
+SMALL = [f"c{k}" for k in range(CODES)] + [f"o{k}" for k in range(ODD)]
+
+
+def _codes(batches):
+    """id, c0, c1, ... (two bits of a hash of each register), o0, o1, ... (parities)."""
+    import pyarrow as pa
+
+    with np.errstate(over="ignore"):
+        shifts = np.arange(32, dtype=U) * U(2)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            regs = np.stack([np.frombuffer(x, "<u2") for x in batch.column("registers").to_pylist()]).astype(U)
+            two = (mix(regs + U(77)) & U(3)).reshape(len(regs), CODES, 32) << shifts
+            packed = np.bitwise_or.reduce(two, axis=2).view(np.int64)
+            odd = np.stack([np.frombuffer(x, np.int64) for x in batch.column("odd").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(packed[:, k]) for k in range(CODES)), *(pa.array(odd[:, k]) for k in range(ODD))], ["id", *SMALL])
+
+
+def may_link(u: str, v: str, percent: int) -> Column:
+    """Whether rows with columns u and v before n and the names of SMALL may be links: codes that agree as often as at the threshold, but for MARGIN standard errors, and few enough parities that differ."""
+    level = percent / 100 + (1 - percent / 100) / 4
+    most = int(REGISTERS * (1 - level + MARGIN * np.sqrt(level * (1 - level) / REGISTERS)))
+    apart, odd = F.lit(0), F.lit(0)
+    for k in range(CODES):
+        x = F.col(f"{u}c{k}").bitwiseXOR(F.col(f"{v}c{k}"))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    for k in range(ODD):
+        odd = odd + F.bit_count(F.col(f"{u}o{k}").bitwiseXOR(F.col(f"{v}o{k}")))
+    return (odd * (100 + percent) <= (F.col(f"{u}n") + F.col(f"{v}n")) * (100 - percent)) & (apart <= most)
+
+
 def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of sketches, row by row, given the sets' sizes."""
     up, down = (ra > rb).sum(axis=1), (ra < rb).sum(axis=1)
@@ -131,8 +177,10 @@ def _promising(percent: int):
                 continue
             na, nb = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
             ra, rb = (np.stack([np.frombuffer(x, "<u2") for x in b.column(c).to_pylist()]) for c in ("ra", "rb"))
+            oa, ob = (np.stack([np.frombuffer(x, np.uint8) for x in b.column(c).to_pylist()]) for c in ("oa", "ob"))
+            differ = np.unpackbits(oa ^ ob, axis=1).sum(axis=1)
             with np.errstate(all="ignore"):
-                keep = (estimate(ra, rb, na, nb) >= floor) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                keep = (differ * (100 + percent) <= (na + nb) * (100 - percent)) & (estimate(ra, rb, na, nb) >= floor) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
     return run
@@ -176,32 +224,41 @@ def maybe_in(df: DataFrame, need: DataFrame) -> DataFrame:
 
 
 class Trials:
-    """Tries pairs of classes: sketches first, then full sets, which are read from the texts of those classes that come up."""
+    """Tries pairs of classes: sketches first, then full sets, which are read from one text of each class that comes up."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, percent: int, shingle: int):
         self.docs, self.reps, self.percent, self.shingle = docs, reps, percent, shingle
 
-    def links(self, pairs: DataFrame) -> Written:
-        """The pairs(u, v) that are links, and in .tried all that were."""
-        side = lambda id, n, r: self.reps.select(F.col("id").alias(id), F.col("n").alias(n), F.col("registers").alias(r))
-        full = pairs.join(side("u", "na", "ra"), "u").join(side("v", "nb", "rb"), "v").select("u", "v", "na", "nb", "ra", "rb")
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs(u, v) that are links."""
+        side = lambda id, x: self.reps.select(F.col("id").alias(id), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"), F.col("odd").alias(f"o{x}"))
+        full = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "na", "nb", "ra", "rb", "oa", "ob")
         good = Written(full.mapInArrow(_promising(self.percent), "u long, v long"), "pairs")
-        need = good.df.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        texts = maybe_in(self.docs.select(F.col("doc_id").alias("id"), "text"), need).join(need, "id")  # a semi-join would be pushed below the filter
-        sets = Written(texts.select("id", "text").mapInArrow(_sets(self.shingle), "id long, s binary").dropDuplicates(["id"]), "sets")
+        need = good.df.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+        need = Written(need.join(self.reps.select(F.col("id").alias("class"), "doc_id", "t1", "t2"), "class").withColumn("id", F.xxhash64("doc_id", "t1", "t2")), "needed")
+        rows = texts_of(self.docs).withColumn("id", F.xxhash64("doc_id", "t1", "t2"))
+        found = maybe_in(rows, need.df).drop("id").join(need.df.drop("id"), ["doc_id", "t1", "t2"])  # a semi-join would be pushed below the filter
+        # repeated rows have equal sets, so any of them will do
+        sets = Written(found.select(F.col("class").alias("id"), "text").mapInArrow(_sets(self.shingle), "id long, s binary").dropDuplicates(["id"]), "sets")
         a, b = sets.df.select(F.col("id").alias("u"), F.col("s").alias("sa")), sets.df.select(F.col("id").alias("v"), F.col("s").alias("sb"))
-        found = Written(good.df.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_linked(self.percent), "u long, v long"), "links")
-        good.drop()
-        sets.drop()
-        return found
+        out = Written(good.df.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(_linked(self.percent), "u long, v long"), "links").df
+        for used in (good, need, sets):
+            used.drop()
+        return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    rows = Written(docs.select("doc_id", "text").mapInArrow(_sketches(shingle), "doc_id long, n long, d1 long, d2 long, registers binary"), "sketches").df
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2 (128 bits of the text), text."""
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("t1"), F.xxhash64(text_or_empty(), F.lit(1)).alias("t2"), "text")
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, component_id, kept of each row of docs."""
+    rows = Written(texts_of(docs).mapInArrow(_sketches(shingle), "doc_id long, t1 long, t2 long, n long, d1 long, d2 long, registers binary, odd binary"), "sketches").df
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = Written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes").df
-    reps = Written(full.join(classes, ["n", "d1", "d2"]).where("doc_id = rep").dropDuplicates(["n", "d1", "d2"]).select(F.col("doc_id").alias("id"), "n", "registers"), "reps").df
+    # a class is a set; its number is given once, when the table is written, and its first row stands for it
+    least = full.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("r"), F.first(F.struct("registers", "odd")).alias("k"))
+    reps = Written(least.select(F.monotonically_increasing_id().alias("id"), "n", "d1", "d2", "r.doc_id", "r.t1", "r.t2", "k.registers", "k.odd"), "reps").df
     bands = Written(reps.select("id", "n", "registers").mapInArrow(_bands, "id long, n int, kind int, band long"), "bands")
     # bands of one member link nothing
     shared = bands.df.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
@@ -212,27 +269,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     # a band's hub is tried with its other members
     hubs = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "kind").alias("k"), "id", "n")).alias("h")).select("band", F.col("h.id").alias("hub"), F.col("h.n").alias("nv"))
     pairs = members.withColumnRenamed("n", "nu").join(hubs, "band").where("id <> hub").where(close).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
-    tried = Written(pairs, "hub-pairs").df
-    links = trials.links(tried).df
+    links = trials.links(Written(pairs, "hub-pairs").df)
     parts = Written(components(links), "parts").df
-    # the exact rest: pairs of one band that are still in different components and haven't been tried
+    # the exact rest: pairs of one band that are still in different components
     one = Written(members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "band", F.coalesce("component", "id").alias("c")), "labelled").df
     mixed = one.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("band")
-    left = one.join(mixed, "band")
-    x, y = (left.select("band", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in ("u", "v"))
-    rest = x.join(y, "band").where("u < v AND cu <> cv").where(close).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    links = links.unionByName(trials.links(Written(rest, "rest-pairs").df).df)
-    parts = Written(components(links), "parts").df
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    codes = reps.select("id", "registers", "odd").mapInArrow(_codes, "id long, " + ", ".join(f"{c} long" for c in SMALL))
+    left = Written(one.join(mixed, "band").join(codes, "id"), "apart").df
+    x, y = (left.select("band", F.col("id").alias(i), F.col("c").alias(f"of{i}"), *[F.col(c).alias(f"{i}{c}") for c in ("n", *SMALL)]) for i in ("u", "v"))
+    sizes = f"100 * least(un, vn) >= {percent} * greatest(un, vn)"
+    rest = x.join(y, (x["band"] == y["band"]) & (F.col("u") < F.col("v")) & (F.col("ofu") != F.col("ofv")) & F.expr(sizes) & may_link("u", "v", percent)).select("u", "v").distinct()
+    parts = Written(components(links.unionByName(trials.links(Written(rest, "rest-pairs").df))), "parts").df
+    linked = reps.join(parts, reps["id"] == parts["node"], "left").select("id", "n", "d1", "d2", "doc_id", F.coalesce("component", "id").alias("component"))
+    first = linked.groupBy("component").agg(F.min("doc_id").alias("first"))
+    named = linked.join(first, "component").select("n", "d1", "d2", "first")
+    out = rows.select("doc_id", "t1", "t2", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
+    return out.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return grouped(docs, percent, shingle).drop("t1", "t2")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """docs without those that aren't the first of their component; rows without a doc_id stay."""
-    gone = near_duplicates(docs, percent, shingle).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = grouped(docs, percent, shingle).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"), "t1", "t2").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty()).alias("_t1"), F.xxhash64(text_or_empty(), F.lit(1)).alias("_t2"))
+    return rows.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left_anti").select("_row.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
