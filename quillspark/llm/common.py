@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 class Written:
     """A table written to the shared folder: cuts lineage, survives lost executors, can be dropped early."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         # once the table is there, the shuffle files behind it are of no use
@@ -41,7 +41,7 @@ class Written:
         before = self.spark.conf.get(clean, "false")
         self.spark.conf.set(clean, "true")
         try:
-            df.write.parquet(self.path)
+            df.write.option("compression", compression).parquet(self.path)
         finally:
             self.spark.conf.set(clean, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

@@ -160,7 +160,7 @@ def test_lines(spark, none):
     got = lines.dedup_lines(df)
     assert got.columns == df.columns
     out = {r.doc_id: r.text for r in got.collect()}
-    assert out[1] == f"{line.upper()}!\nshort" and out[2] == f"short\n{other}" and out[3] is None and out[4] == "" and out[None] == line and out[5] == ""
+    assert out[1] == f"{line.upper()}!\nshort" and out[2] == other and out[3] is None and out[4] == "" and out[None] == line and out[5] == ""
     assert lines.dedup_lines(none).count() == 0
 
 
