@@ -220,6 +220,49 @@ def test_html(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_wrappers():
+    story = "<article><h1>Head</h1><p>Story.</p>{}</article>"
+    text = lambda page: html.content_of(html.lines(page))
+    for wrapper in ('class="layout with-sidebar"', 'class="page no-comments"', 'id="social-network-story"', 'class="sidebar"'):
+        assert text(f"<div {wrapper}>{story.format('')}</div>") == "Head Story.", wrapper
+    for inside in ('<div class="widget-table">Kept.</div>', '<div id="legal">Kept.</div>', "<p class='search'>Kept.</p>", "<math>Kept.</math>"):
+        assert text(story.format(inside)) == "Head Story. Kept.", inside
+    for inside in ('<div class="ad">x</div>', '<div class="ad-slot">x</div>', '<div class="cookie-notice">x</div>', "<form>x</form>", '<section id="comments"><article class="comment">x</article></section>', "<aside><article>x</article></aside>"):
+        assert text(story.format(inside)) == "Head Story.", inside
+    assert text(f'{story.format("")}<div id="comments"><article>Nice.</article></div>') == "Head Story."
+
+
+def test_html_pairs_do_not_depend_on_tasks(spark):
+    r = random.Random(5)
+    data = []
+    for i in range(60):
+        body = "".join(f"<div>{r.choice('abcdefgh')} {i} {j}</div>" if r.random() < 0.6 else f"<div>frame {r.randrange(5)}</div>" for j in range(8))
+        data.append((i, f"http://h{i % 3}.com/{r.randrange(15):02d}", f"<body><div>Top</div>{body}</body>"))
+    data.append((99, None, "<div>alone</div>"))
+
+    def key(url):
+        host, _, path = url[7:].partition("/")
+        return host, "/" + path
+
+    first = {}
+    for i, url, page in data[:-1]:
+        first.setdefault(key(url), [x for x, _ in html.lines(page)])
+    want = {99: "alone"}
+    for i, url, page in data[:-1]:
+        host, path = key(url)
+        paths = sorted(p for h, p in first if h == host)
+        at, own = paths.index(path), [x for x, _ in html.lines(page)]
+        pairs = [first[host, paths[k]] for k in (at - 1, at + 1) if 0 <= k < len(paths)]
+        want[i] = html.differenced(own, [html.OPEN] * len(own), own, pairs)
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(n)
+        try:
+            assert {x.page_id: x.text for x in html.extract_text(df).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
 def test_common_subsequence():
     def longest(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -233,6 +276,14 @@ def test_common_subsequence():
         found = html.common(a, b)
         rest = iter(b)
         assert len(found) == longest(a, b) and all(a[i] in rest for i in sorted(found))
+    cells, html.CELLS = html.CELLS, 4
+    try:
+        for _ in range(200):
+            a, b = ([R.choice("abcde") for _ in range(R.randint(0, 12))] for _ in range(2))
+            found, rest = html.common(a, b), iter(b)
+            assert len(found) == longest(a, b) and all(a[i] in rest for i in sorted(found))
+    finally:
+        html.CELLS = cells
 
 
 def test_trees_agree_with_columns(spark):
