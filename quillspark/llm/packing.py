@@ -1,12 +1,15 @@
 """Operator 1: best-fit packing into sequences of at most `size` tokens.
 
 Only the histogram of piece lengths, of at most `size` counts, is planned on the driver. A configuration linear
-program over it (which fillings of a sequence, how often) is solved by multiplicative weights: lengths that the
-fillings so far serve badly gain weight, and a knapsack dynamic program over the sequence's capacity prices the
-best filling for the weights. The fillings are rounded down, and best fit, longest first, places the rest of the
-histogram. The plan is a table of runs: places r .. r + n of a length go to these sequences at this offset; it has
-at most a few entries for each filling and so doesn't grow with the corpus. Spark ranks the pieces of each length,
-salted so that a frequent length is ranked in many tasks, and joins each rank with its run.
+program over it (which fillings of a sequence, how often, so that every length is covered at the least number of
+sequences) is solved by multiplicative weights: a length's weight falls as more of its pieces are placed, and a
+knapsack dynamic program over the sequence's capacity prices fillings for the weights, the best one through each
+length. The steps of a round are rounded down to whole sequences; the next round solves the residual histogram in the
+same way, until no filling is full. Weights over the value of the best filling are a feasible dual, so each round also
+gives a lower bound. Best fit, longest first, places the few pieces that are left. The plan is a table of runs: places
+r .. r + n of a length go to these sequences at this offset; it has at most a few entries for each filling and so
+doesn't grow with the corpus. Spark ranks the pieces of each length, salted by their number so that a frequent length
+is ranked in many tasks, and joins each rank with its run.
 
 Defined cases: a null or empty text is its end id alone; a text of more than `size` tokens is cut into pieces of
 `size`, the first one shorter; repeated rows are packed each for itself; an empty table gives no sequences.
@@ -23,9 +26,10 @@ from .common import table, written
 from .tokens import VOCABULARY, encoder, text_batches
 
 SIZE, END = 1024, 2
-#: Rounds of the multiplicative weights, the part of a length that a round serves, and how fast a served length loses weight.
-ROUNDS, STEP, RATE = 300, 0.5, 0.05
-SALTS = 64
+#: Most rounds of the multiplicative weights; how fast a length that is placed loses weight; how much more a long piece weighs than its share of a sequence (each is tried, the plan of fewer sequences is used).
+ROUNDS, RATE, BIAS = 200, 1.0, (0.1, 1.0)
+#: Pieces of a length that are ranked together.
+RANKED = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,68 +55,86 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = END, vocabulary: str =
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def price(weights, size: int):
-    """The filling of most weight: knapsack by dynamic programming over capacities, with as many of a length as fit."""
+def knapsack(weights, size: int):
+    """For each capacity the most weight, with as many of a length as fit, and the length that is taken there (0: none)."""
     import numpy as np
 
     best, take = np.zeros(size + 1), np.zeros(size + 1, dtype=int)
     lengths = np.flatnonzero(weights > 0)
     for c in range(1, size + 1):
-        fit = lengths[: np.searchsorted(lengths, c, side="right")]
         best[c] = best[c - 1]
+        fit = lengths[: np.searchsorted(lengths, c, side="right")]
         if len(fit):
             value = best[c - fit] + weights[fit]
             k = int(value.argmax())
-            if value[k] > best[c] + 1e-15:
+            if value[k] > best[c] + 1e-12:
                 best[c], take[c] = value[k], fit[k]
-    filling, c = {}, size
-    while c > 0:
-        if take[c]:
-            filling[int(take[c])] = filling.get(int(take[c]), 0) + 1
-            c -= int(take[c])
-        else:
-            c -= 1
-    return filling, float(best[size])
-
-
-def configuration_lp(counts: dict[int, int], size: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Fillings and how often to use each, by multiplicative weights. Rounding holds each length to its demand."""
+    return best, take
+
+
+def through(length: int, take, size: int) -> tuple:
+    """The best filling that holds the length: (length, how often), longest first."""
+    filling, room = {length: 1}, size - length
+    while room > 0:
+        x = int(take[room])
+        if x:
+            filling[x] = filling.get(x, 0) + 1
+        room -= x or 1
+    return tuple(sorted(filling.items(), reverse=True))
+
+
+def configuration_lp(counts: dict[int, int], size: int, rounds: int = ROUNDS, bias: float = BIAS[0]) -> dict[tuple, int]:
+    """Full fillings and how often to use each, together within the histogram. See `lower_bound` for the dual."""
     import numpy as np
 
-    demand = np.zeros(size + 1)
-    for length, n in counts.items():
-        demand[length] = n
-    have = np.flatnonzero(demand)
-    if not len(have):
-        return {}
-    # a length's price is its share of a sequence, times a weight that falls as the length is served ahead of the others
-    used: dict[tuple, float] = {}
-    served = np.zeros(size + 1)
-    log_w = np.zeros(len(have))
-    for t in range(rounds):
+    demand = {k: v for k, v in counts.items() if v > 0}
+    left, used = dict(demand), {}
+    for _ in range(rounds):
+        have = np.array(sorted(left), dtype=int)
+        placed = np.array([1 - left[int(k)] / demand[int(k)] for k in have])
         w = np.zeros(size + 1)
-        w[have] = have / size * np.exp(log_w)
-        filling, _ = price(w, size)
-        step = min(demand[x] / k for x, k in filling.items()) * STEP
-        key = tuple(sorted(filling.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + step
-        for x, k in filling.items():
-            served[x] += k * step
-        log_w = -RATE * served[have] / demand[have]
+        w[have] = have / size * (1 + bias * have / size) * np.exp(-RATE * placed)
+        _, take = knapsack(w, size)
+        before = len(used), sum(used.values())
+        for x in map(int, have[::-1]):
+            filling = through(x, take, size)
+            if sum(k * n for k, n in filling) == size and (step := min(left[k] // n for k, n in filling)):
+                used[filling] = used.get(filling, 0) + step
+                for k, n in filling:
+                    left[k] -= n * step
+        left = {k: v for k, v in left.items() if v}
+        if not left or before == (len(used), sum(used.values())):
+            break
     return used
 
 
-def rounded(counts: dict[int, int], fillings: dict[tuple, float], size: int) -> list[tuple[tuple, int]]:
-    """(filling, times) that hold counts exactly: full fillings in falling order of use, rounded down; then best fit, longest first, on the histogram."""
+def lower_bound(counts: dict[int, int], size: int, rounds: int = 20) -> float:
+    """The most that the duals of some rounds show to be needed: weights over the value of the best filling. Lengths that the bound leans on too much lose weight."""
+    import numpy as np
+
+    have = np.array(sorted(k for k, v in counts.items() if v > 0), dtype=int)
+    if not len(have):
+        return 0.0
+    demand = np.array([counts[int(k)] for k in have], float)
+    served, bound = np.zeros(len(have)), 0.0
+    for t in range(1, rounds + 1):
+        w = np.zeros(size + 1)
+        w[have] = have / size * np.exp(-RATE * served / t)
+        best, take = knapsack(w, size)
+        bound = max(bound, float(demand @ w[have] / best[size]))
+        filling = dict(through(int(have[(w[have] + best[size - have]).argmax()]), take, size))
+        served += np.array([filling.get(int(k), 0) for k in have]) / demand
+    return bound
+
+
+def rounded(counts: dict[int, int], fillings: dict[tuple, int], size: int) -> list[tuple[tuple, int]]:
+    """(filling, times) that hold counts exactly: the fillings, and best fit, longest first, on what is left of the histogram."""
     left = {k: v for k, v in counts.items() if v > 0}
     plan: dict[tuple, int] = {}
-    full = [k for k in fillings if sum(x * n for x, n in k) == size]
-    for key in sorted(full, key=lambda k: -fillings[k]):
-        times = min([int(fillings[key]), *(left.get(x, 0) // n for x, n in key)])
-        if times > 0:
-            plan[key] = plan.get(key, 0) + times
-            for x, n in key:
-                left[x] -= n * times
+    for key, times in fillings.items():
+        plan[key] = times
+        for x, n in key:
+            left[x] -= n * times
     # the rest: bins of one content are counted together, so the work follows the histogram and not the pieces
     import bisect
 
@@ -168,26 +190,33 @@ def runs(plan: list[tuple[tuple, int]]) -> list[tuple[int, int, int, int, int, i
     return out
 
 
-def packed(cut: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
+def planned(counts: dict[int, int], size: int) -> list[tuple[tuple, int]]:
+    """The rounded plan of fewest sequences among those of BIAS."""
+    return min((rounded(counts, configuration_lp(counts, size, bias=b), size) for b in BIAS), key=lambda p: sum(n for _, n in p))
+
+
+def packed(cut: DataFrame, size: int = SIZE, ranked: int = RANKED) -> DataFrame:
     """cut (a written table of pieces) with sequence_id and offset."""
+    import bisect
+
     spark = cut.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    salted = cut.withColumn("salt", salt)
-    per = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most size x salts rows
-    counts: dict[int, int] = {}
-    base = []
-    for r in sorted(per, key=lambda r: (r["length"], r["salt"])):
-        base.append((r["length"], r["salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    plan = runs(min((rounded(counts, f, size) for f in (configuration_lp(counts, size), {})), key=lambda p: sum(n for _, n in p)))
+    lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
+    salts = F.broadcast(spark.createDataFrame([(k, -(-n // ranked)) for k, n in sorted(lengths.items())], "length long, salts long"))
+    salted = cut.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
+    per = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # a row for each length and each RANKED pieces
     by: dict[int, list] = {}
-    for x, *run in plan:
+    for x, *run in runs(planned(lengths, size)):
         by.setdefault(x, []).append(tuple(run))
-    firsts = F.broadcast(spark.createDataFrame(base, "length long, salt int, base long"))
+    known, at = [], {}
+    for x, salt, n in sorted((r["length"], r["salt"], r["n"]) for r in per):
+        first = at.get(x, 0)
+        at[x] = first + n
+        ends = [run[1] for run in by[x]]
+        known.append((x, salt, first, by[x][bisect.bisect_right(ends, first) : bisect.bisect_left(ends, first + n) + 1]))
     run = "struct<first:long,stop:long,sequence:long,each:long,at:long>"
-    known = F.broadcast(spark.createDataFrame(list(by.items()), f"length long, runs array<{run}>"))
+    known = F.broadcast(spark.createDataFrame(known, f"length long, salt int, base long, runs array<{run}>"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    placed = salted.withColumn("local", rank).join(firsts, ["length", "salt"]).withColumn("place", F.col("base") + F.col("local")).join(known, "length")
+    placed = salted.withColumn("local", rank).join(known, ["length", "salt"]).withColumn("place", F.col("base") + F.col("local"))
     hit = F.get(F.filter("runs", lambda r: (r["first"] <= F.col("place")) & (F.col("place") < r["stop"])), F.lit(0))
     within = F.col("place") - F.col("run.first")
     return placed.withColumn("run", hit).select(

@@ -82,6 +82,32 @@ def test_plan_holds_the_histogram():
         assert held == counts
 
 
+def test_plan_is_near_the_bound():
+    for n, most in ((300, 1024), (40, 500), (200, 900)):
+        counts = {R.randint(1, most): R.randint(1, 400) for _ in range(n)}
+        fillings = packing.configuration_lp(counts, 1024)
+        sequences = sum(t for _, t in packing.planned(counts, 1024))
+        bound = packing.lower_bound(counts, 1024)
+        assert bound >= sum(k * v for k, v in counts.items()) / 1024 - 1e-6
+        assert bound <= sequences <= 1.01 * bound + 3 and 2 * sum(fillings.values()) > sequences
+
+
+def test_packing_with_many_salts(spark):
+    rows_of = [(i % 9, 0, 0, 1 + (i * 37) % 300, i) for i in range(2000)]
+    cut = spark.createDataFrame(rows_of, packing.PIECES)
+    out = packing.packed(cut, 1024, 3).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in out) == sorted((a, d, e) for a, _, _, d, e in rows_of)
+    by: dict = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
 def test_substring(docs, none):
     assert rows(substring.substring_dedup(docs).drop("kept_text")) == brute.substrings(DOCS)
     assert substring.substring_dedup(none).count() == 0
