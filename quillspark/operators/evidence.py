@@ -10,27 +10,39 @@ DENIED = (".env*", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa*", "**/secrets/**
 BYTES_MOST, BYTES_LEAST, USD = 4.8, 3.0, 0.042
 
 
-def glob_pattern(glob: str) -> str:
-    """A regular expression of a glob: **/ any folders, ** anything, * and ? within a segment, {a,b} one of them. A glob without / is for the base name."""
-    out, i, depth = "", 0, 0
+def glob_pattern(glob: str, whole: bool = False) -> str:
+    """A regular expression of a glob: **/ any folders, ** anything, * and ? within a segment, {a,b} one of them; a { without } is itself. A glob without / is for the base name, unless the whole path is asked for."""
+    out, i = "", 0
+    plain = lambda c: "\\" + c if c in r".+^${}()|[]\\" else c
     while i < len(glob):
         c = glob[i]
         if glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
-        elif glob.startswith("/**", i) and i + 3 == len(glob):
-            out, i = out + "(?:/.*)?", i + 3
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
+        elif c == "{" and (end := glob.find("}", i)) >= 0:
+            out, i = out + "(?:" + "|".join("".join(map(plain, x)) for x in glob[i + 1 : end].split(",")) + ")", end + 1
         else:
-            depth += (c == "{") - (c == "}")
-            out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(c, "|" if c == "," and depth else "\\" + c if c in r".+^$()[]|\\" else c)
-            i += 1
-    return ("^" if "/" in glob else "(?:^|/)") + out + "$"
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, plain(c)), i + 1
+    return ("^" if whole or "/" in glob else "(?:^|/)") + out + "$"
+
+
+def matches_glob(path: Column, glob: str) -> Column:
+    """A glob that ends in /** matches its own text before that, too."""
+    hit = path.rlike(glob_pattern(glob))
+    return hit | (path == glob[:-3]) if glob.endswith("/**") else hit
 
 
 def denied_by(path: Column, globs: tuple[str, ...] = DENIED) -> Column:
     """deny-list:<first glob that matches>, or null."""
-    return F.coalesce(*[F.when(path.rlike(glob_pattern(g)), F.lit(f"deny-list:{g}")) for g in globs])
+    return F.coalesce(*[F.when(matches_glob(path, g), F.lit(f"deny-list:{g}")) for g in globs])
+
+
+def helper_role(path: Column) -> Column:
+    """Test and spec files, files of test folders, and those named helper, fixture or setup may import on behalf of a test."""
+    base = F.lower(F.element_at(F.split(path, "/"), -1))
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    return base.rlike(r"\.(?:test|spec)\.[jt]sx?$") | F.arrays_overlap(folders, F.array(*[F.lit(x) for x in ("test", "tests", "__tests__", "__mocks__")])) | base.rlike("helper|fixture|setup")
 
 
 def specifier_class(s: Column) -> Column:
@@ -43,16 +55,48 @@ def normal_path(path: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("p"), F.lit(True).alias("ok"))
     step = lambda a, x: F.when(x != "..", F.struct(F.array_append(a["p"], x).alias("p"), a["ok"].alias("ok"))).otherwise(F.struct(F.slice(a["p"], 1, F.greatest(F.size(a["p"]) - 1, F.lit(0))).alias("p"), (a["ok"] & (F.size(a["p"]) > 0)).alias("ok")))
     done = F.aggregate(parts, start, step)
-    return F.when(path.rlike(r"^[/\\]|^[A-Za-z]:") | ~done["ok"], F.lit(None)).otherwise(F.array_join(done["p"], "/"))
+    return F.when(path.rlike(r"^[/\\]|^[A-Za-z]:|\x00") | ~done["ok"] | (F.size(done["p"]) == 0), F.lit(None)).otherwise(F.array_join(done["p"], "/"))
+
+
+def line_cut(text: Column, most: Column) -> Column:
+    """Bytes of the longest beginning of text that ends with a line and has at most so many bytes; 0 if not even one line fits."""
+    lines = F.split(text, "\n", -1)
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(True).alias("go"))
+
+    def step(a, x):
+        new = a["sum"] + F.octet_length(x) + 1
+        fits = a["go"] & (new <= most)
+        return F.struct(F.when(fits, new).otherwise(a["sum"]).alias("sum"), fits.alias("go"))
+
+    return F.aggregate(F.slice(lines, 1, F.size(lines) - 1), start, step)["sum"]
+
+
+def cut_text(text: Column, most: int) -> Column:
+    """text within a fragment's budget: whole, or to the last line that fits, or to the last whole character."""
+    data = text.cast("binary")
+    # a character that begins within the bytes and ends beyond them is left out
+    raw = F.regexp_replace(F.make_valid_utf8(F.substring(data, 1, most).cast("string")), "\ufffd+$", "")
+    bytes_ = line_cut(text, F.lit(most))
+    by_line = F.decode(F.substr(data, F.lit(1), bytes_.cast("int")), "UTF-8")
+    return F.when(F.octet_length(text) <= most, text).when(bytes_ > 0, by_line).otherwise(raw)
 
 
-def budget_fill(fragments: DataFrame, budget: int) -> DataFrame:
-    """bundle, ord, action, bytes: fragments(bundle, ord, n_bytes) are kept while the running sum fits; the first that doesn't is cut to what is left; all later ones are left out."""
-    before = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("bundle").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.lit(budget) - before
-    action = F.when(F.col("n_bytes") <= left, "keep").when(left >= 0, "cut").otherwise("omit")
-    given = F.when(F.col("n_bytes") <= left, F.col("n_bytes")).when(left >= 0, left).otherwise(F.lit(0)).cast("long")
-    return fragments.select("bundle", "ord", action.alias("action"), given.alias("bytes"))
+def budget_fill(fragments: DataFrame, budget: int, block: int = 1024) -> DataFrame:
+    """bundle, ord, action, bytes: fragments(bundle, ord, text) are kept while the running sum fits; the first that doesn't is cut at a line's end within what is left, or left out; all later ones are left out.
+
+    Sums of blocks of ord find the block of the first overflow, so that no task sorts a whole bundle and only one block's fragments are summed one by one."""
+    sized = fragments.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("block", F.floor(F.col("ord") / block))
+    blocks = sized.groupBy("bundle", "block").agg(F.sum("n_bytes").alias("s"))
+    running = F.sum("s").over(Window.partitionBy("bundle").orderBy("block"))
+    over = blocks.withColumn("cum", running).where(F.col("cum") > budget).groupBy("bundle").agg(F.min(F.struct("block", (F.col("cum") - F.col("s")).alias("before"))).alias("x")).select("bundle", "x.block", "x.before")
+    cum = F.col("before") + F.sum("n_bytes").over(Window.partitionBy("bundle").orderBy("ord"))
+    inside = sized.join(over, ["bundle", "block"]).withColumn("cum", cum).where(F.col("cum") > budget)
+    first = inside.groupBy("bundle").agg(F.min(F.struct("ord", (F.lit(budget) - F.col("cum") + F.col("n_bytes")).alias("rest"))).alias("x")).select("bundle", F.col("x.ord").alias("first"), "x.rest")
+    placed = sized.join(first, "bundle", "left")
+    cut = F.when(F.col("ord") == F.col("first"), line_cut(F.col("text"), F.col("rest"))).otherwise(F.lit(0))
+    placed = placed.withColumn("cut", cut)
+    kept = F.col("first").isNull() | (F.col("ord") < F.col("first"))
+    return placed.select("bundle", "ord", F.when(kept, "keep").when(F.col("cut") > 0, "cut").otherwise("omit").alias("action"), F.when(kept, F.col("n_bytes")).otherwise(F.col("cut")).cast("long").alias("bytes"))
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -62,11 +106,47 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def two_hops(edges: DataFrame) -> DataFrame:
-    """start, target, hop: files reached in one or two steps, the least hop of each, never the start itself. edges(a, b)."""
+    """start, target, hop, importer, specifier of edges(a, b, specifier): files reached in one step, and in two by way of a helper; the least hop of each, ties by importer and specifier, never the start itself."""
     e = edges.where("a <> b").distinct()
-    one = e.select(F.col("a").alias("start"), F.col("b").alias("target"), F.lit(1).cast("long").alias("hop"))
-    two = e.alias("x").join(e.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("start"), F.col("y.b").alias("target"), F.lit(2).cast("long").alias("hop"))
-    return one.unionByName(two).where("start <> target").groupBy("start", "target").agg(F.min("hop").alias("hop"))
+    one = e.select(F.col("a").alias("start"), F.col("b").alias("target"), F.lit(1).cast("long").alias("hop"), F.col("a").alias("importer"), "specifier")
+    two = e.where(helper_role(F.col("b"))).select(F.col("a").alias("start"), F.col("b").alias("via")).distinct().join(e.select(F.col("a").alias("via"), F.col("b").alias("target"), "specifier"), "via")
+    both = one.unionByName(two.select("start", "target", F.lit(2).cast("long").alias("hop"), F.col("via").alias("importer"), "specifier"))
+    return both.where("start <> target").groupBy("start", "target").agg(F.min(F.struct("hop", "importer", "specifier")).alias("r")).select("start", "target", "r.*")
+
+
+def target_key(path: Column) -> Column:
+    """A path without its source extension and a last /index: what an import's own path looks like."""
+    return F.regexp_replace(F.regexp_replace(path, r"(?i)\.(?:ts|tsx|js|jsx|mts|cts|mjs|cjs)$", ""), "/index$", "")
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """importer, specifier, path: the file of each import; by (importer, specifier) as resolved before, else by the only file whose key is the import's. files(path, importer, specifier)."""
+    exact = files.groupBy("importer", "specifier").agg(F.min("path").alias("exact"))
+    keys = files.select(target_key(F.col("path")).alias("key"), "path").distinct().groupBy("key").agg(F.min("path").alias("only"), F.count("*").alias("n")).where("n = 1").drop("n")
+    folder = F.regexp_replace("importer", "[^/]*$", "")
+    relative = F.col("specifier").rlike(r"^\.{1,2}(?:/|$)")
+    asked = imports.withColumn("key", F.when(relative, target_key(normal_path(F.concat(folder, F.col("specifier"))))))
+    return asked.join(exact, ["importer", "specifier"], "left").join(keys, "key", "left").select("importer", "specifier", F.coalesce("exact", "only").alias("path"))
+
+
+def mocked_targets(mocks: DataFrame, files: DataFrame) -> DataFrame:
+    """importer, keys: the keys of the files that an importer mocks, sorted; a mock of no file, or of one of several, adds nothing."""
+    hit = resolved_imports(mocks, files).where("path IS NOT NULL")
+    return hit.groupBy("importer").agg(F.array_join(F.array_sort(F.collect_set(target_key(F.col("path")))), ",").alias("keys"))
+
+
+# Extensions that stand for others when an import is looked for, and those that are added.
+REWRITTEN = {"js": ("ts", "tsx"), "jsx": ("tsx",), "mjs": ("mts",), "cjs": ("cts",)}
+ADDED = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
+
+
+def probed(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """base, path: the first candidate of each asked base path that exists: itself, another extension, an added one, an index file."""
+    base = F.col("base")
+    rewritten = [F.when(base.endswith(f".{a}"), F.concat(F.regexp_replace(base, rf"\.{a}$", ""), F.lit(f".{b}"))) for a, bs in REWRITTEN.items() for b in bs]
+    added = [F.concat(base, F.lit(f".{x}")) for x in ADDED] + [F.concat(base, F.lit(f"/index.{x}")) for x in ADDED]
+    candidates = asked.select("base", F.posexplode(F.array(base, *rewritten, *added)).alias("pos", "path")).where("path IS NOT NULL")
+    return candidates.join(files.select("path").distinct(), "path").groupBy("base").agg(F.min(F.struct("pos", "path")).alias("r")).select("base", "r.path")
 
 
 def alias_matches(specifiers: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -79,10 +159,20 @@ def alias_matches(specifiers: DataFrame, patterns: DataFrame) -> DataFrame:
     return specifiers.distinct().join(F.broadcast(usable), hit).groupBy("specifier").agg(best).select("specifier", "r.pattern")
 
 
-def token_estimate(rows: DataFrame) -> DataFrame:
-    """Sums of per-row token bounds and their price; rounding is by row."""
+def token_estimate(rows: DataFrame, ceiling: int, follow_ups: int = 1) -> DataFrame:
+    """Counts, bytes and requests over the ceiling of all rows(n_bytes, hit); token bounds and their price of those that aren't cache hits, with follow-ups in the most. Rounding is by row."""
     low, high = F.floor(F.col("n_bytes") / BYTES_MOST), F.ceil(F.col("n_bytes") / BYTES_LEAST)
-    return rows.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.sum(low).alias("tokens_min"), F.sum(high).alias("tokens_max")).withColumns({"usd_min": F.col("tokens_min") * F.lit(USD) / F.lit(1e6), "usd_max": F.col("tokens_max") * F.lit(USD) / F.lit(1e6)})
+    paid = lambda c: F.coalesce(F.sum(F.when(~F.col("hit"), c)), F.lit(0))
+    sums = rows.agg(F.count("*").alias("n"), F.count_if(F.col("hit")).alias("cache_hits"), F.sum("n_bytes").alias("n_bytes"), F.count_if(high > ceiling).alias("over_ceiling"), paid(low).alias("tokens_min"), paid(high).alias("tokens_max"))
+    usd = lambda c: F.round(c * F.lit(USD) / F.lit(1e6), 9)
+    return sums.withColumns({"usd_min": usd(F.col("tokens_min")), "usd_max": usd(F.col("tokens_max") * (1 + follow_ups))})
+
+
+def over_request_budget(state: Column, questions: Column, total_most: int = 64_000, part_most: int = 32_000) -> Column:
+    """Whether a request of so many bytes of state and of each question passes a ceiling: all of it, or the state with its longest question."""
+    tokens = lambda c: F.ceil(c / BYTES_LEAST)
+    whole = state + F.aggregate(questions, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(tokens(whole) > total_most, "total").when(tokens(state + F.array_max(questions)) > part_most, "state-and-question")
 
 
 def content_hash(text: Column) -> Column:
@@ -90,8 +180,19 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, r"\r\n?", "\n"), 256)
 
 
-def case_identity(path: Column, name: Column, source_hash: Column) -> Column:
-    return F.concat(F.lit("tc:v1:"), F.sha2(F.concat_ws("\n", path, name, source_hash), 256))
+def _canonical(**fields: Column) -> Column:
+    """JSON with keys in the given order and explicit nulls."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def case_identity(path: Column, ancestry: Column, source_hash: Column, parameter: Column) -> Column:
+    """tc:v1: and a hash of canonical JSON. ancestry: array of struct(kind, name, ordinal); parameter: struct(index, valueHash) or null."""
+    return F.concat(F.lit("tc:v1:"), F.sha2(_canonical(version=F.lit(1), path=normal_path(path), ancestry=ancestry, sourceHash=source_hash, parameter=parameter), 256))
+
+
+def cache_key(request: Column, source: Column, rubric: str, slot: str) -> Column:
+    """What two requests must share to share an answer: the request, the hash of the whole source with line feeds alone, the rubric's version and a frozen slot."""
+    return F.sha2(_canonical(request=request, source=content_hash(source), rubricVersion=F.lit(rubric), slot=F.lit(slot)), 256)
 
 
 def replace_once(text: Column, anchor: str, by: str) -> Column:

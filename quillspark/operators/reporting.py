@@ -77,3 +77,63 @@ def status_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.withColumnRenamed("verdict", "b").join(after.withColumnRenamed("verdict", "a"), "case_id", "full")
     rule = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(rank("a") < rank("b"), "improved").when(rank("a") > rank("b"), "regressed").otherwise("same")
     return both.select("case_id", rule.alias("change"))
+
+
+def selected(rows: DataFrame, folder: str | None = None, statuses: tuple[str, ...] = (), with_dimension: DataFrame | None = None) -> DataFrame:
+    """rows(case_id, path, verdict, ...) below a folder, of some verdicts, that have a dimension: with_dimension(case_id) are those that do."""
+    if folder is not None:
+        rows = rows.where((F.col("path") == folder) | F.col("path").startswith(folder.rstrip("/") + "/"))
+    if statuses:
+        rows = rows.where(F.col("verdict").isin(*statuses))
+    return rows if with_dimension is None else rows.join(with_dimension.select("case_id").distinct(), "case_id", "left_semi")
+
+
+def searched(rows: DataFrame, query: str) -> DataFrame:
+    """rows(case_id, name, ...) whose id is the query, or whose name holds it, whatever the case."""
+    return rows.where((F.col("case_id").cast("string") == query) | F.contains(F.lower("name"), F.lit(query.lower())))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row: how many, by verdict, and the shares that need a change or a review."""
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    share = lambda c: F.when(F.count("*") == 0, 0.0).otherwise(c / F.count("*"))
+    return rows.agg(
+        F.count("*").alias("judged"), *[count(v).alias(v.replace("-", "_")) for v in ("misleading", "weak", "needs-review", "healthy")],
+        share(count("misleading") + count("weak")).alias("needs_change_share"), share(count("needs-review")).alias("needs_review_share"),
+    )
+
+
+def dimension_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """case_id, dimension, before, after: levels or statuses that differ, with those that only one side has."""
+    state = F.coalesce("level", "status")
+    x, y = (d.select("case_id", "dimension", state.alias(n)) for d, n in ((before, "before"), (after, "after")))
+    return x.join(y, ["case_id", "dimension"], "full").where("NOT (before <=> after)")
+
+
+def file_worklist(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """path, n, tests: needs-change tests by file, each with its misleading and weak dimensions. findings(case_id, dimension, level)."""
+    listed = findings.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "dimension", "level"))), "+").alias("found"))
+    bad = rows.where("verdict IN ('misleading', 'weak')").join(listed, "case_id", "left")
+    line = F.concat_ws(":", "name", "verdict", F.coalesce("found", F.lit("")))
+    return bad.groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "|").alias("tests"))
+
+
+def review_worklist(rows: DataFrame, unsure: DataFrame) -> DataFrame:
+    """path, n, tests: dimensions that need a review, with their reasons, by file. unsure(case_id, dimension, reason)."""
+    line = F.concat_ws(":", "name", "dimension", F.coalesce("reason", F.lit("")))
+    return rows.join(unsure, "case_id").groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "|").alias("tests"))
+
+
+def drilled_folders(counts: DataFrame, most: int = 12, share: float = 0.5, depth: int = 4) -> DataFrame:
+    """path, folder: counts(path, n) by folders that are opened one level at a time: a folder that holds more than a share of all, and has at most `most` folders below it, gives way to these.
+
+    Only folders are counted in each step, so the work of a step is an aggregate and its result a few rows."""
+    total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
+    parts = F.split("path", "/")
+    prefix = lambda d: F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(d), F.size(parts) - 1))), "/")
+    rows = counts.withColumn("folder", prefix(1))
+    for d in range(2, depth + 1):
+        below = rows.withColumn("next", prefix(d))
+        open_ = below.groupBy("folder").agg(F.sum("n").alias("s"), F.count_distinct("next").alias("k")).where((F.col("s") > share * total) & (F.col("k") <= most)).select("folder")
+        rows = below.join(F.broadcast(open_.limit(int(1 / share) + 1).withColumn("_open", F.lit(True))), "folder", "left").withColumn("folder", F.when(F.col("_open"), F.col("next")).otherwise(F.col("folder"))).drop("next", "_open")
+    return rows.select("path", "folder")

@@ -234,18 +234,27 @@ _FRAGMENTS = "SELECT source AS bundle, doc_id AS ord, octet_length(encode(coales
 
 
 def fragments(spark, sf_dir):
-    return b.table(spark, sf_dir, "documents").select(F.col("source").alias("bundle"), F.col("doc_id").alias("ord"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    return b.table(spark, sf_dir, "documents").select(F.col("source").alias("bundle"), F.col("doc_id").alias("ord"), "text")
 
 
-@registered(f"""SELECT bundle, ord, CASE WHEN n_bytes <= rest THEN 'keep' WHEN rest >= 0 THEN 'cut' ELSE 'omit' END AS action, (CASE WHEN n_bytes <= rest THEN n_bytes WHEN rest >= 0 THEN rest ELSE 0 END)::BIGINT AS bytes
-  FROM (SELECT *, 65536 - coalesce(sum(n_bytes) OVER (PARTITION BY bundle ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM ({_FRAGMENTS}) f) x""")
+# the fragment that overflows is cut after the last line that ends within what is left
+@registered("""WITH f AS (SELECT source AS bundle, doc_id AS ord, text, strlen(text) AS n, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS cum FROM documents),
+  o AS (SELECT *, min(ord) FILTER (cum > 16384) OVER (PARTITION BY bundle) AS first FROM f),
+  c AS (SELECT bundle, ord, 16384 - cum + n AS rest, unnest(range(1, len(string_split(text, chr(10))))) AS k, string_split(text, chr(10)) AS lines FROM o WHERE ord = first),
+  l AS (SELECT bundle, ord, max(w) AS w FROM (SELECT bundle, ord, rest, strlen(array_to_string(lines[1:k], chr(10))) + 1 AS w FROM c) x WHERE w <= rest GROUP BY 1, 2)
+  SELECT o.bundle, o.ord, CASE WHEN first IS NULL OR o.ord < first THEN 'keep' WHEN w > 0 THEN 'cut' ELSE 'omit' END AS action,
+    (CASE WHEN first IS NULL OR o.ord < first THEN n ELSE coalesce(w, 0) END)::BIGINT AS bytes FROM o LEFT JOIN l ON o.bundle = l.bundle AND o.ord = l.ord""")
 def budget_fill(spark, sf_dir):
-    return evidence.budget_fill(fragments(spark, sf_dir), 65536)
+    return evidence.budget_fill(fragments(spark, sf_dir), 16_384)
 
 
-@registered(f"SELECT count(*) AS n, sum(n_bytes)::BIGINT AS n_bytes, sum(floor(n_bytes / 4.8::DOUBLE))::BIGINT AS tokens_min, sum(ceil(n_bytes / 3.0::DOUBLE))::BIGINT AS tokens_max, sum(floor(n_bytes / 4.8::DOUBLE))::BIGINT * 0.042::DOUBLE / 1e6::DOUBLE AS usd_min, sum(ceil(n_bytes / 3.0::DOUBLE))::BIGINT * 0.042::DOUBLE / 1e6::DOUBLE AS usd_max FROM ({_FRAGMENTS}) f")
+@registered("""SELECT count(*) AS n, count(*) FILTER (hit) AS cache_hits, sum(n)::BIGINT AS n_bytes, count(*) FILTER (ceil(n / 3.0::DOUBLE) > 2000) AS over_ceiling,
+  coalesce(sum(floor(n / 4.8::DOUBLE)) FILTER (NOT hit), 0)::BIGINT AS tokens_min, coalesce(sum(ceil(n / 3.0::DOUBLE)) FILTER (NOT hit), 0)::BIGINT AS tokens_max,
+  round(coalesce(sum(floor(n / 4.8::DOUBLE)) FILTER (NOT hit), 0) * 0.042::DOUBLE / 1e6, 9) AS usd_min, round(coalesce(sum(ceil(n / 3.0::DOUBLE)) FILTER (NOT hit), 0) * 2 * 0.042::DOUBLE / 1e6, 9) AS usd_max
+  FROM (SELECT strlen(text) AS n, doc_id % 3 = 0 AS hit FROM documents WHERE text IS NOT NULL) d""")
 def estimate(spark, sf_dir):
-    return evidence.token_estimate(fragments(spark, sf_dir))
+    rows = b.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.octet_length("text").cast("long").alias("n_bytes"), (F.col("doc_id") % 3 == 0).alias("hit"))
+    return evidence.token_estimate(rows, 2000)
 
 
 @registered("SELECT doc_id, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS content_hash FROM documents")
@@ -253,9 +262,13 @@ def content_hash(spark, sf_dir):
     return b.table(spark, sf_dir, "documents").select("doc_id", evidence.content_hash(F.col("text")).alias("content_hash"))
 
 
-@registered(f"SELECT case_id, 'tc:v1:' || sha256(path || chr(10) || name || chr(10) || sha256(name)) AS identity FROM ({b.CASES_SQL}) c")
+@registered(f"""SELECT case_id, 'tc:v1:' || sha256('{{"version":1,"path":' || to_json(path) || ',"ancestry":[{{"kind":"describe","name":' || to_json(brand) || ',"ordinal":0}},{{"kind":"test","name":' || to_json(name) || ',"ordinal":' || (case_id % 4) || '}}],"sourceHash":"' || sha256(name)
+  || '","parameter":' || CASE WHEN case_id % 3 = 0 THEN '{{"index":' || (case_id % 5) || ',"valueHash":"' || sha256(brand) || '"}}' ELSE 'null' END || '}}') AS identity FROM (SELECT *, split_part(path, '/', 1) AS brand FROM ({b.CASES_SQL}) c) x""")
 def case_identity(spark, sf_dir):
-    return b.cases(spark, sf_dir).select("case_id", evidence.case_identity(F.col("path"), F.col("name"), F.sha2("name", 256)).alias("identity"))
+    brand, step = F.split_part("path", F.lit("/"), F.lit(1)), lambda k, n, o: F.struct(F.lit(k).alias("kind"), n.alias("name"), o.cast("int").alias("ordinal"))
+    ancestry = F.array(step("describe", brand, F.lit(0)), step("test", F.col("name"), F.col("case_id") % 4))
+    parameter = F.when(F.col("case_id") % 3 == 0, F.struct((F.col("case_id") % 5).cast("int").alias("index"), F.sha2(brand, 256).alias("valueHash")))
+    return b.cases(spark, sf_dir).select("case_id", evidence.case_identity(F.col("path"), ancestry, F.sha2("name", 256), parameter).alias("identity"))
 
 
 def _text(x: str) -> str:
@@ -263,20 +276,27 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_GLOBS = ("**/en/*", "*.html", "*example.{com,net}/**")
+_GLOBS = {"**/en/*": "^(.*/)?en/[^/]*$", "*.html": "(^|/)[^/]*\\.html$", "*example.{com,net}/**": "^[^/]*example\\.(com|net)/.*$", "**/en/**": "^(.*/)?en/.*$", "m.?asino*/{e": "^m\\.[^/]asino[^/]*/\\{e$"}
 
 
-@registered(f"SELECT page_id, {', '.join(f'regexp_matches(path, {_text(evidence.glob_pattern(g))}) AS g{i}' for i, g in enumerate(_GLOBS))} FROM ({b.PATHS_SQL}) p")
+# the expressions are written by hand, not made by the operator
+@registered(f"SELECT page_id, {', '.join(f'regexp_matches(path, {_text(r)}) AS g{i}' for i, r in enumerate(_GLOBS.values()))} FROM ({b.PATHS_SQL}) p")
 def glob_match(spark, sf_dir):
-    return b.paths(spark, sf_dir).select("page_id", *[F.col("path").rlike(evidence.glob_pattern(g)).alias(f"g{i}") for i, g in enumerate(_GLOBS)])
+    return b.paths(spark, sf_dir).select("page_id", *[evidence.matches_glob(F.col("path"), g).alias(f"g{i}") for i, g in enumerate(_GLOBS)])
 
 
-_DENY = (*evidence.DENIED, "**/es/**", "*.html")
+_ODD_PATHS = ("src/a.map", "x/.env.local", "dist", "src/build", "src/build/x.js", "a/secrets/k", "node_modules/m/i.js", "lib/x.d.ts", "id_rsa.pub", "a/b.min.js", "src/ok.ts", "coverage/x", "a/.git/config", "k.pem")
+_ODD_SQL = "[" + ", ".join(f"'{x}'" for x in _ODD_PATHS) + "][page_id % 15]"
 
 
-@registered(f"SELECT page_id, CASE {' '.join(f"WHEN regexp_matches(path, {_text(evidence.glob_pattern(g))}) THEN 'deny-list:{g}'" for g in _DENY)} END AS rule FROM ({b.PATHS_SQL}) p")
+@registered(f"""SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)[.]env[^/]*$') THEN 'deny-list:.env*' WHEN regexp_matches(path, '[.]pem$') THEN 'deny-list:*.pem' WHEN regexp_matches(path, '[.]key$') THEN 'deny-list:*.key'
+  WHEN regexp_matches(path, '[.]p12$') THEN 'deny-list:*.p12' WHEN regexp_matches(path, '[.]pfx$') THEN 'deny-list:*.pfx' WHEN regexp_matches(path, '(^|/)id_rsa[^/]*$') THEN 'deny-list:id_rsa*' WHEN regexp_matches(path, '(^|/)secrets/') THEN 'deny-list:**/secrets/**'
+  WHEN regexp_matches(path, '(^|/)[.]git/') THEN 'deny-list:**/.git/**' WHEN regexp_matches(path, '(^|/)node_modules/') THEN 'deny-list:**/node_modules/**' WHEN regexp_matches(path, '(^|/)dist/') THEN 'deny-list:**/dist/**' WHEN regexp_matches(path, '(^|/)build/') THEN 'deny-list:**/build/**'
+  WHEN regexp_matches(path, '(^|/)coverage/') THEN 'deny-list:**/coverage/**' WHEN regexp_matches(path, '(^|/)vendor/') THEN 'deny-list:**/vendor/**' WHEN regexp_matches(path, '[.]min[.]js$') THEN 'deny-list:*.min.js' WHEN regexp_matches(path, '[.]map$') THEN 'deny-list:*.map'
+  WHEN regexp_matches(path, '[.]d[.]ts$') THEN 'deny-list:*.d.ts' WHEN regexp_matches(path, '[.]html$') THEN 'deny-list:*.html' END AS rule FROM (SELECT page_id, coalesce({_ODD_SQL}, path) AS path FROM ({b.PATHS_SQL}) p) x""")
 def deny_rule(spark, sf_dir):
-    return b.paths(spark, sf_dir).select("page_id", evidence.denied_by(F.col("path"), _DENY).alias("rule"))
+    odd = F.get(F.array(*[F.lit(x) for x in _ODD_PATHS]), (F.col("page_id") % 15 - 1).cast("int"))
+    return b.paths(spark, sf_dir).select("page_id", evidence.denied_by(F.coalesce(odd, F.col("path")), (*evidence.DENIED, "*.html")).alias("rule"))
 
 
 _SPEC_SQL = "CASE page_id % 5 WHEN 0 THEN './' WHEN 1 THEN '@/' WHEN 2 THEN '@s/' WHEN 3 THEN '#' ELSE '' END || path"
@@ -301,19 +321,25 @@ def alias_match(spark, sf_dir):
     return evidence.alias_matches(specifiers(spark, sf_dir).select("specifier"), spark.createDataFrame(_PATTERNS, "pattern string, source int, ord int"))
 
 
-@registered(f"SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/') AS path FROM ({b.PATHS_SQL}) p")
+# leads with .., a root, a drive, backslashes; null where the path leaves the root or is none
+@registered(f"SELECT page_id, CASE page_id % 7 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'x/y/' || p ELSE p END AS path FROM (SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM ({b.PATHS_SQL}) p) q")
 def path_normalize(spark, sf_dir):
-    return b.paths(spark, sf_dir).select("page_id", evidence.normal_path(F.col("path")).alias("path"))
+    leads = F.array(*[F.lit(x) for x in ("a/../", "./", "/", "C:", "..\\", "x//y\\", "")])
+    return b.paths(spark, sf_dir).select("page_id", evidence.normal_path(F.concat(F.get(leads, (F.col("page_id") % 7).cast("int")), "path")).alias("path"))
 
 
-_EDGES = "SELECT DISTINCT l_suppkey AS a, (l_partkey * 7 + l_orderkey) % 97 + l_suppkey // 10 AS b FROM lineitem"
+_FILE = "CASE WHEN x % 3 = 0 THEN 'tests/f' || x WHEN x % 7 = 1 THEN 'src/setup' || x ELSE 'src/f' || x END || '.ts'"
+_EDGES = f"SELECT DISTINCT {_FILE.replace('x', 'a').replace('src/f', 'src/f')} AS a, {_FILE.replace('x', 'b')} AS b, './s' || (b % 4) AS specifier FROM (SELECT l_suppkey AS a, (l_partkey * 7 + l_orderkey) % 97 + l_suppkey // 10 AS b FROM lineitem) n"
 
 
-@registered(f"""WITH e AS (SELECT * FROM ({_EDGES}) x WHERE a <> b) SELECT start, target, min(hop)::BIGINT AS hop FROM (SELECT a AS start, b AS target, 1 AS hop FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a) h WHERE start <> target GROUP BY 1, 2""")
+@registered(f"""WITH e AS (SELECT * FROM ({_EDGES}) z WHERE a <> b), h AS (SELECT a AS start, b AS target, 1 AS hop, a AS importer, specifier FROM e UNION ALL
+  SELECT x.a, y.b, 2, y.a, y.specifier FROM e x JOIN e y ON x.b = y.a WHERE regexp_matches(x.b, '^tests/|setup'))
+  SELECT start, target, hop::BIGINT AS hop, importer, specifier FROM (SELECT *, row_number() OVER (PARTITION BY start, target ORDER BY hop, importer, specifier) AS r FROM h WHERE start <> target) q WHERE r = 1""")
 def two_hop(spark, sf_dir):
     # imports stand as edges between suppliers' numbers
-    edges = b.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS a", "(l_partkey * 7 + l_orderkey) % 97 + l_suppkey div 10 AS b")
-    return evidence.two_hops(edges)
+    file = lambda x: F.concat(F.when(F.col(x) % 3 == 0, "tests/f").when(F.col(x) % 7 == 1, "src/setup").otherwise("src/f"), F.col(x).cast("string"), F.lit(".ts"))
+    numbers = b.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS a", "(l_partkey * 7 + l_orderkey) % 97 + l_suppkey div 10 AS b")
+    return evidence.two_hops(numbers.select(file("a").alias("a"), file("b").alias("b"), F.concat(F.lit("./s"), (F.col("b") % 4).cast("string")).alias("specifier")))
 
 
 @registered("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -400,3 +426,6 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["batches"] = batches
+
+
+from . import more  # noqa: E402, F401  # registers its queries

@@ -1 +1 @@
-
+"""What queries read: repositories of source files."""
