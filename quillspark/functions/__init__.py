@@ -1 +1,44 @@
+"""Scalar functions that the operators' rules use."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def safe_share(n: Column, of: Column) -> Column:
+    """n / of, and 0 where of is 0."""
+    return F.when(of == 0, 0.0).otherwise(n / of)
+
+
+def html_escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def redacted(text: Column, secret: str) -> Column:
+    """text without a secret's occurrences; an empty secret hides nothing."""
+    return F.replace(text, F.lit(secret), F.lit("[redacted]")) if secret else text
+
+
+def in_language_order(text: Column) -> Column:
+    """text to sort by as people do, not by code units."""
+    return F.collate(text, "UNICODE")
+
+
+def occurrences(text: Column, part: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
+def capped_list(values: Column, most: int = 20) -> Column:
+    """The first values, and how many more there are."""
+    more = F.size(values) - most
+    return F.when(more > 0, F.array_append(F.slice(values, 1, most), F.concat(more.cast("string"), F.lit(" more")))).otherwise(values)
+
+
+def without_json_comments(text: Column) -> Column:
+    """JSON of a configuration that allows comments and commas before a closing bracket; strings stay as they are."""
+    string = r'"(?:[^"\\]|\\.)*"'
+    bare = F.regexp_replace(text, rf"({string})|//[^\n]*|/\*[\s\S]*?\*/", "$1")
+    return F.regexp_replace(bare, rf"({string})|,(?=\s*[\]}}])", "$1")

@@ -124,16 +124,35 @@ def review_worklist(rows: DataFrame, unsure: DataFrame) -> DataFrame:
     return rows.join(unsure, "case_id").groupBy("path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "|").alias("tests"))
 
 
-def drilled_folders(counts: DataFrame, most: int = 12, share: float = 0.5, depth: int = 4) -> DataFrame:
-    """path, folder: counts(path, n) by folders that are opened one level at a time: a folder that holds more than a share of all, and has at most `most` folders below it, gives way to these.
+# What share of all makes a folder be opened, the least cases of a folder of its own, and segments that aren't folders of their own.
+DOMINANT, GROUP_LEAST = 1 / 12, 3
+GENERIC = ("src", "lib", "app", "test", "tests", "__tests__", "spec", "packages", "apps")
 
-    Only folders are counted in each step, so the work of a step is an aggregate and its result a few rows."""
+
+def drilled_folders(counts: DataFrame, dominant: float = DOMINANT, least: int = GROUP_LEAST, generic: tuple[str, ...] = GENERIC, depth: int = 32) -> DataFrame:
+    """path, folder, remainder: counts(path, n) of cases by adaptive folders.
+
+    From the root down, a folder with at least the dominant share of all cases is opened: each next folder with at least
+    `least` cases, past generic segments, becomes a row, which may be opened in turn; the rest stays with the folder and
+    is a remainder where others left it. At most 1 / dominant folders are open on a level, so each step is an aggregate
+    over the rows that are still open, and a broadcast of that many names."""
     total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
-    parts = F.split("path", "/")
-    prefix = lambda d: F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.least(F.lit(d), F.size(parts) - 1))), "/")
-    rows = counts.withColumn("folder", prefix(1))
-    for d in range(2, depth + 1):
-        below = rows.withColumn("next", prefix(d))
-        open_ = below.groupBy("folder").agg(F.sum("n").alias("s"), F.count_distinct("next").alias("k")).where((F.col("s") > share * total) & (F.col("k") <= most)).select("folder")
-        rows = below.join(F.broadcast(open_.limit(int(1 / share) + 1).withColumn("_open", F.lit(True))), "folder", "left").withColumn("folder", F.when(F.col("_open"), F.col("next")).otherwise(F.col("folder"))).drop("next", "_open")
-    return rows.select("path", "folder")
+    dirs = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    rows = counts.select("path", "n", dirs.alias("dirs"), F.lit(".").alias("folder"), F.lit(0).alias("at"), F.lit(True).alias("live"))
+    split: list[str] = []
+    for _ in range(depth):
+        open_ = [r["folder"] for r in rows.where("live").groupBy("folder").agg(F.sum("n").alias("s")).where(F.col("s") >= dominant * total).select("folder").collect()]
+        if not open_ or not total:
+            break
+        # where the next segment that isn't generic ends
+        rest = F.slice("dirs", F.col("at") + 1, F.size("dirs"))
+        first = F.get(F.filter(F.transform(rest, lambda x, i: F.when(~x.isin(*generic), i)), lambda i: i.isNotNull()), F.lit(0))
+        below = rows.withColumn("opened", F.col("live") & F.col("folder").isin(*open_)).withColumn("to", F.when(F.col("opened"), F.col("at") + first + 1))
+        below = below.withColumn("child", F.when(F.col("to").isNotNull(), F.array_join(F.slice("dirs", F.lit(1), F.col("to")), "/")))
+        own = below.where("child IS NOT NULL").groupBy("child").agg(F.sum("n").alias("s"), F.min("folder").alias("parent")).where(F.col("s") >= least)
+        split += [r["parent"] for r in own.select("parent").distinct().collect()]
+        moved = below.join(own.select("child", F.lit(True).alias("moved")), "child", "left")
+        go = F.coalesce("moved", F.lit(False))
+        rows = moved.select("path", "n", "dirs", F.when(go, F.col("child")).otherwise(F.col("folder")).alias("folder"), F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), go.alias("live"))
+    remainder = F.col("folder").isin(*split) if split else F.lit(False)
+    return rows.select("path", "folder", remainder.alias("remainder"))

@@ -419,13 +419,13 @@ def json_props(spark, sf_dir):
     return b.table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
 
 
-def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of each folder in chunks of at most 40 cases. An ordered fold; its test is a brute-force version."""
+@registered(f"""WITH RECURSIVE f AS (SELECT split_part(path, '/', 1) AS folder, split_part(path, '/', 2) AS file, count(*) AS n FROM ({b.CASES_SQL}) c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY file) AS k FROM f),
+  s AS (SELECT folder, file, k, 0::BIGINT AS chunk, n AS total FROM r WHERE k = 1 UNION ALL SELECT r.folder, r.file, r.k, CASE WHEN total > 0 AND total + n > 40 THEN chunk + 1 ELSE chunk END, CASE WHEN total > 0 AND total + n > 40 THEN n ELSE total + n END FROM s JOIN r ON r.folder = s.folder AND r.k = s.k + 1)
+  SELECT folder, file, chunk FROM s""")
+def batches(spark, sf_dir):
+    """Files of each folder in chunks of at most 40 cases."""
     files = b.cases(spark, sf_dir).groupBy(F.substring_index("path", "/", 1).alias("folder"), F.element_at(F.split("path", "/"), 2).alias("file")).agg(F.count("*").alias("n"))
     return evidence.chunks(files, 40)
 
 
-QUERIES["batches"] = batches
-
-
 from . import more  # noqa: E402, F401  # registers its queries

@@ -383,3 +383,14 @@ def query_test(spark, sf_dir):
 def diff_dimensions(spark, sf_dir):
     runs = judgment.judge(b.run_answers(spark, sf_dir), judgment.V3)
     return reporting.dimension_diff(runs.where("run = 1994"), runs.where("run = 1995"))
+
+
+# folders by a part's size: src is no folder of its own, and a third level has small groups
+_DIRS = "SELECT 'src/' || CASE WHEN p_size % 5 < 3 THEN 'a' ELSE 'b' || (p_size % 5) END AS g1, 't' || (p_size % 7) AS g2, 'src/' || CASE WHEN p_size % 5 < 3 THEN 'a' ELSE 'b' || (p_size % 5) END || '/t' || (p_size % 7) || '/' || p_partkey AS path FROM part"
+
+
+@registered(f"""SELECT path, folder, folder = g1 AND o2 > 0 AS remainder FROM (SELECT *, max(CASE WHEN n1 * 12 >= t AND n2 >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY g1) AS o2, CASE WHEN n1 < 3 THEN '.' WHEN n1 * 12 >= t AND n2 >= 3 THEN g1 || '/' || g2 ELSE g1 END AS folder
+  FROM (SELECT *, count(*) OVER () AS t, count(*) OVER (PARTITION BY g1) AS n1, count(*) OVER (PARTITION BY g1, g2) AS n2 FROM ({_DIRS}) d) x) y""")
+def folder_drilldown(spark, sf_dir):
+    path = F.expr("concat('src/', CASE WHEN p_size % 5 < 3 THEN 'a' ELSE concat('b', p_size % 5) END, '/t', p_size % 7, '/', p_partkey)")
+    return reporting.drilled_folders(b.table(spark, sf_dir, "part").select(path.alias("path"), F.lit(1).cast("long").alias("n")))

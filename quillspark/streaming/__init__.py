@@ -1 +1 @@
-
+"""Stateful forms of the operators for event streams."""

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import benchmark, evidence, judgment, reporting, workitems
+from quillspark.operators import benchmark, evidence, judgment, reporting, review, workitems
 from quillspark.plans import catalog
+from quillspark.sources import repository
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,8 +73,41 @@ def test_evidence(spark):
     assert [r.r for r in c(evidence.specifier_class, "@scope/x", "@/x", "~/x", "#x", "lodash", "./a", None)] == ["bare", "alias", "alias", "alias", "bare", "relative", "dynamic"]
     assert [r.r for r in c(evidence.denied_by, "src/.env", "src/a.ts", "x/node_modules/y/z.js")] == ["deny-list:.env*", None, "deny-list:**/node_modules/**"]
     assert [r.r for r in c(evidence.normal_path, "a//b/./c/../d", "../x", "/x", "a\\b")] == ["a/b/d", None, None, "a/b"]
-    f = spark.createDataFrame([("x", 1, 6), ("x", 2, 6), ("x", 3, 1)], "bundle string, ord long, n_bytes long")
-    assert [(r.action, r.bytes) for r in evidence.budget_fill(f, 10).orderBy("ord").collect()] == [("keep", 6), ("cut", 4), ("omit", 0)]
+    assert [r.r for r in c(lambda p: evidence.matches_glob(p, "**/foo/**"), "foo", "a/foo", "foo/x", "a/foo/x/y")] == [False, False, True, True]
+    assert [r.r for r in c(lambda p: evidence.matches_glob(p, "foo/**"), "foo", "foo/x", "a/foo/x")] == [True, True, False]
+    assert [r.r for r in c(evidence.helper_role, "src/a.test.ts", "tests/x.ts", "src/dbHelper.ts", "src/a.ts", "tests.ts")] == [True, True, True, False, False]
+    f = spark.createDataFrame([("x", 1, "abcdef"), ("x", 2, "a\nb\nc d"), ("x", 3, "a"), ("y", 1, "abcdef"), ("y", 2, "abcdef"), ("z", 5, None)], "bundle string, ord long, text string")
+    for block in (1, 2, 1024):
+        got = {(r.bundle, r.ord): (r.action, r.bytes) for r in evidence.budget_fill(f.where("text IS NOT NULL"), 10, block).collect()}
+        assert got == {("x", 1): ("keep", 6), ("x", 2): ("cut", 4), ("x", 3): ("omit", 0), ("y", 1): ("keep", 6), ("y", 2): ("omit", 0)}
+    assert [r.r for r in c(lambda p: evidence.cut_text(p, 5), "abc", "ab\ncd\nef", "ab\ncdefg", "abcdééé", None)] == ["abc", "ab\n", "ab\n", "abcd", None]
+
+
+def test_repository(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.test.ts").write_text("import { it } from 'vitest'\nexport * from \"./b\"\nrequire('c'); import('d')")
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "x.test.js").write_text("")
+    files = repository.repository(spark, f"file://{tmp_path}")
+    assert {r.path: r.reason for r in repository.discovered(files).collect()} == {"src/a.test.ts": None, "node_modules/x.test.js": "default-exclude"}
+    assert files.where("path LIKE 'src%'").select(repository.specifiers(F.col("source")).alias("s")).first().s == ["vitest", "./b", "c", "d"]
+    assert {r.path: r.framework for r in repository.frameworks(files, ["jest", "vitest"]).collect()} == {"src/a.test.ts": "vitest", "node_modules/x.test.js": "unknown"}
+
+
+def test_review(spark):
+    with pytest.raises(ValueError):
+        review.blind_payload(spark.range(1).withColumn("level", F.lit("weak")), ["id", "level"])
+    runs = lambda rows: tuple(review.version_identity(spark.createDataFrame(rows, "policy string, rubric string, model string")).first())
+    assert runs([]) == ("none", None) and runs([("v3", "r2", "a")] * 2) == ("v3/r2", "a") and runs([("v3", "r2", "a"), ("v2", "r2", "b")]) == ("mixed", "mixed")
+    rows = spark.createDataFrame([(i, i, d, True) for i, d in enumerate("aab")], "ord long, case_id long, dimension string, correct boolean")
+    assert [r.case_id for r in review.review_selection(rows, "stratified", ("a", "b")).collect()] == [0, 2, 1]
+    assert [r.case_id for r in review.review_selection(rows, "stratified", ("a", "b"), limit=2).collect()] == [0, 2]
+
+
+def test_drilled_folders(spark):
+    counts = spark.createDataFrame([("src/a/x.ts", 50), ("src/b/y.ts", 40), ("lib/z.ts", 10), ("top.ts", 1)], "path string, n long")
+    got = {r.path: (r.folder, r.remainder) for r in reporting.drilled_folders(counts).collect()}
+    assert got == {"src/a/x.ts": ("src/a", False), "src/b/y.ts": ("src/b", False), "lib/z.ts": (".", True), "top.ts": (".", True)}
 
 
 def test_chunks_and_batches(spark):
@@ -101,3 +135,28 @@ def test_log(spark, tmp_path):
     workitems.append_log(log, f"{tmp_path}/log")
     workitems.append_log(log.limit(1), f"{tmp_path}/log")
     assert spark.read.parquet(f"{tmp_path}/log").count() == 3
+
+
+def test_functions(spark):
+    from quillspark import functions as fn
+
+    c = lambda f, *x: [r.r for r in spark.createDataFrame([(v,) for v in x], "p string").select(f(F.col("p")).alias("r")).collect()]
+    assert c(fn.html_escaped, "<a b='c'>&") == ["&lt;a b=&#39;c&#39;&gt;&amp;"]
+    assert c(lambda p: fn.redacted(p, "k1"), "a k1 b k1") == ["a [redacted] b [redacted]"]
+    assert c(lambda p: fn.occurrences(p, "aa"), "aaaa b", "x") == [2, 0]
+    assert c(lambda p: fn.capped_list(F.split(p, ","), 2), "a,b,c,d", "a") == [["a", "b", "2 more"], ["a"]]
+    assert c(lambda p: F.get_json_object(fn.without_json_comments(p), "$.a"), '{"a": "x // y", /* z */ "b": [1,], // t\n}') == ["x // y"]
+    assert [r.p for r in spark.createDataFrame([("b",), ("A",), ("a",)], "p string").orderBy(fn.in_language_order(F.col("p"))).collect()] == ["a", "A", "b"]
+
+
+def test_streams(spark, tmp_path):
+    from quillspark.streaming import throttle
+
+    rows = [("a", 0, "throttled"), *[("a", i, "clean") for i in range(1, 7)], ("b", 0, "neutral")]
+    spark.createDataFrame(rows, "key string, ord long, signal string").write.parquet(f"{tmp_path}/in")
+    stream = throttle.throttle_stream(spark.readStream.schema("key string, ord long, signal string").parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.outputMode("update").format("memory").queryName("limits").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.key: (r.limit, r.streak) for r in spark.table("limits").collect()} == {"a": (5, 1), "b": (8, 0)}
+    batch = workitems.throttle_limits(spark.createDataFrame(rows, "key string, ord int, signal string"))
+    assert {r.key: (r.limit, r.streak) for r in batch.collect()} == {"a": (5, 1), "b": (8, 0)}
