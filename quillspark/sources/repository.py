@@ -17,7 +17,7 @@ SPECIFIER = r"""(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)["']([^"'\r\n]+
 
 
 def repository(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), source: the files under a root that only Spark may be able to read. Names that leave the root have no row."""
+    """path (below root), source: the files under a root that only Spark may be able to read. Spark gives no row for an empty file, and none is given for a name that leaves the root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     below = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")

@@ -87,7 +87,7 @@ def test_repository(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.test.ts").write_text("import { it } from 'vitest'\nexport * from \"./b\"\nrequire('c'); import('d')")
     (tmp_path / "node_modules").mkdir()
-    (tmp_path / "node_modules" / "x.test.js").write_text("")
+    (tmp_path / "node_modules" / "x.test.js").write_text("x")
     files = repository.repository(spark, f"file://{tmp_path}")
     assert {r.path: r.reason for r in repository.discovered(files).collect()} == {"src/a.test.ts": None, "node_modules/x.test.js": "default-exclude"}
     assert files.where("path LIKE 'src%'").select(repository.specifiers(F.col("source")).alias("s")).first().s == ["vitest", "./b", "c", "d"]
