@@ -201,16 +201,17 @@ def repeated_spans(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataF
     # equal intervals are one class, whose windows are looked at once
     classes = Written(intervals.df.groupBy("r1", "r2").agg(F.min("doc_id").alias("d"), F.first(F.struct("h", "c")).alias("w")), "interval-classes")
     windows = classes.df.select("r1", "r2", "d", F.posexplode(F.arrays_zip("w.h", "w.c")).alias("at", "w")).select("r1", "r2", "d", "at", "w.h", "w.c")
-    earlier = windows.groupBy("h", "c").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("h", "c", "a")
-    known = windows.join(earlier, ["h", "c"]).where("d > a").groupBy("r1", "r2").agg(F.collect_set("at").alias("ats"))
+    # written, so that the join after it has shuffles of its own, which adaptive execution splits where a passage is very common
+    earlier = Written(windows.groupBy("h", "c").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("h", "c", "a"), "earlier")
+    known = windows.join(earlier.df, ["h", "c"]).where("d > a").groupBy("r1", "r2").agg(F.collect_set("at").alias("ats"))
     marked = classes.df.select("r1", "r2", "d").join(known, ["r1", "r2"], "left")
     here = intervals.df.select("r1", "r2", "doc_id", "d1", "d2", "place", "len").join(marked, ["r1", "r2"]).where("doc_id > d OR ats IS NOT NULL")
     # in a later document all of an interval is repeated; in its first one, the windows that an earlier document has in another interval
     single = F.transform("ats", lambda x: F.struct((F.col("place") + x).alias("place"), F.lit(1).alias("len")))
     spans_here = F.when(F.col("doc_id") > F.col("d"), F.array(F.struct("place", "len"))).otherwise(single)
     places = Written(here.select("doc_id", "d1", "d2", F.explode(spans_here).alias("s")).groupBy("doc_id", "d1", "d2").agg(F.collect_list("s").alias("spans")), "places").df
-    intervals.drop()
-    classes.drop()
+    for used in (intervals, classes, earlier):
+        used.drop()
     return places, firsts
 
 
