@@ -138,7 +138,9 @@ def drilled_folders(counts: DataFrame, dominant: float = DOMINANT, least: int =
     over the rows that are still open, and a broadcast of that many names."""
     total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
     dirs = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    rows = counts.select("path", "n", dirs.alias("dirs"), F.lit(".").alias("folder"), F.lit(0).alias("at"), F.lit(True).alias("live"))
+    # one row for each directory; levels read the level before from the executors' storage
+    known = counts.select("path", "n", dirs.alias("dirs"))
+    rows = known.groupBy("dirs").agg(F.sum("n").alias("n")).select("dirs", "n", F.lit(".").alias("folder"), F.lit(0).alias("at"), F.lit(True).alias("live")).persist()
     split: list[str] = []
     for _ in range(depth):
         open_ = [r["folder"] for r in rows.where("live").groupBy("folder").agg(F.sum("n").alias("s")).where(F.col("s") >= dominant * total).select("folder").collect()]
@@ -150,9 +152,12 @@ def drilled_folders(counts: DataFrame, dominant: float = DOMINANT, least: int =
         below = rows.withColumn("opened", F.col("live") & F.col("folder").isin(*open_)).withColumn("to", F.when(F.col("opened"), F.col("at") + first + 1))
         below = below.withColumn("child", F.when(F.col("to").isNotNull(), F.array_join(F.slice("dirs", F.lit(1), F.col("to")), "/")))
         own = below.where("child IS NOT NULL").groupBy("child").agg(F.sum("n").alias("s"), F.min("folder").alias("parent")).where(F.col("s") >= least)
-        split += [r["parent"] for r in own.select("parent").distinct().collect()]
+        parents = [r["parent"] for r in own.select("parent").distinct().collect()]
+        if not parents:
+            break
+        split += parents
         moved = below.join(own.select("child", F.lit(True).alias("moved")), "child", "left")
         go = F.coalesce("moved", F.lit(False))
-        rows = moved.select("path", "n", "dirs", F.when(go, F.col("child")).otherwise(F.col("folder")).alias("folder"), F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), go.alias("live"))
+        rows = moved.select("dirs", "n", F.when(go, F.col("child")).otherwise(F.col("folder")).alias("folder"), F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), go.alias("live")).persist()
     remainder = F.col("folder").isin(*split) if split else F.lit(False)
-    return rows.select("path", "folder", remainder.alias("remainder"))
+    return known.join(rows, "dirs").select("path", "folder", remainder.alias("remainder"))
