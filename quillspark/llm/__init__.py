@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "substring", "tokenfile", "pii", "quality", "secrets", "decontam", "lines", "neardup", "html", "divergence", "spelling")
+MODULES = ("packing", "substring", "tokenfile", "pii", "quality", "secrets", "decontam", "lines", "neardup", "html", "toxicity", "divergence", "spelling")
 
 
 def queries() -> dict:
