@@ -428,4 +428,4 @@ def batches(spark, sf_dir):
     return evidence.chunks(files, 40)
 
 
-from . import more, nested  # noqa: E402, F401  # register their queries
+from . import linked, more, nested  # noqa: E402, F401  # register their queries
