@@ -14,7 +14,7 @@ from .catalog import registered
 
 # expressions that both engines read alike
 _LONG = "CAST(floor(c_custkey / 1000) AS BIGINT) % 2 = 1 AND c_custkey % 1000 <> 0"
-_ROUND = "CAST(floor(c_custkey / 100) AS BIGINT) % 7 = 3"
+_ROUND = "CAST(floor(c_custkey / 100) AS BIGINT) % 20 = 5"
 _PASSES = f"(({_ROUND}) OR ({_LONG}) OR c_custkey % 10 <> 0)"
 _BACK = f"concat('f', CASE WHEN {_ROUND} THEN c_custkey - c_custkey % 100 + (c_custkey + 99) % 100 ELSE c_custkey - 1 END)"
 #: (where, position, form, name, local, target)
