@@ -86,8 +86,8 @@ def followed_declarations(wanted: DataFrame, exports: DataFrame) -> DataFrame:
     """wanted(file, exported) -> state, found_in, symbol, position, hops: re-exports followed to the end. state is declaration, missing (no statement exports the name, or its file isn't in the repository) or cycle.
 
     Re-exports by name point from one (file, name) to the next that is exported by name, stars between them having been
-    jumped over. The pointers are doubled, so a chain of n takes log n rounds; what has not ended after as many steps
-    as there are open pointers is a cycle."""
+    jumped over. The pointers are doubled, so a chain of n takes log n rounds. While a chain is open, each round ends
+    some of its pointers; so what is open when a round ends none is a cycle, or leads into one."""
     named = stored(explicit_exports(exports).withColumn("id", _id("file", "name")), "exports")
     stars = star_reach(exports)
     re = named.where("kind = 're-export'")
@@ -95,14 +95,14 @@ def followed_declarations(wanted: DataFrame, exports: DataFrame) -> DataFrame:
     ends = named.where("kind = 'declaration'").select("id", F.lit("declaration").alias("state"), F.lit(None).cast("string").alias("next"), F.col("id").alias("end"), F.lit(0).alias("hops"))
     moves = re.select("id").join(step, "id", "left").select("id", F.when(F.col("at").isNull(), "missing").otherwise("open").alias("state"), _id("at", "name").alias("next"), F.lit(None).cast("string").alias("end"), F.when(F.col("at").isNull(), 0).otherwise(F.col("steps") + 1).alias("hops"))
     now = stored(ends.unionByName(moves), "pointers")
-    reached = 1
     open_ = now.where("state = 'open'").count()
-    while open_ and reached <= open_:
+    while open_:
         on = now.select(F.col("id").alias("next"), F.col("state").alias("s"), F.col("next").alias("n"), F.col("end").alias("e"), F.col("hops").cast("long").alias("h"))
         moved = now.where("state = 'open'").join(on, "next").select("id", F.col("s").alias("state"), F.col("n").alias("next"), F.col("e").alias("end"), (F.col("hops") + F.col("h")).alias("hops"))
         now = stored(now.where("state <> 'open'").withColumn("hops", F.col("hops").cast("long")).unionByName(moved), "pointers")
-        reached *= 2
-        open_ = now.where("state = 'open'").count()
+        open_, before = now.where("state = 'open'").count(), open_
+        if open_ == before:
+            break
     asked = wanted.distinct().withColumn("id", _id("file", "exported"))
     start = _nearest(asked.select("id", "file", F.col("exported").alias("name")), named, stars).select("id", _id("at", "name").alias("first"), "steps")
     ended = now.select(F.col("id").alias("first"), F.when(F.col("state") == "open", "cycle").otherwise(F.col("state")).alias("state"), "end", "hops")
