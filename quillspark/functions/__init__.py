@@ -42,3 +42,31 @@ def without_json_comments(text: Column) -> Column:
     string = r'"(?:[^"\\]|\\.)*"'
     bare = F.regexp_replace(text, rf"({string})|//[^\n]*|/\*[\s\S]*?\*/", "$1")
     return F.regexp_replace(bare, rf"({string})|,(?=\s*[\]}}])", "$1")
+
+
+def utf16_length(text: Column) -> Column:
+    """Code units of text; a character beyond the basic plane has two."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate value once and use it many times in body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def script_number(x: Column) -> Column:
+    """A finite double as scripts print it: digits up to 21 places, an exponent beyond them and below a millionth."""
+    text = F.abs(x).cast("string")
+    read = lambda t: F.struct(F.regexp_extract(t, r"^(\d+)", 1).alias("whole"), F.regexp_extract(t, r"^\d+\.(\d+)", 1).alias("part"), F.coalesce(F.regexp_extract(t, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0)).alias("power"))
+    led = lambda r: F.regexp_replace(F.concat(r["whole"], r["part"]), "^0+", "")
+    # point: its place, counted from the first digit that isn't 0
+    placed = lambda r: F.struct(F.regexp_replace(led(r), "0+$", "").alias("digits"), (r["power"] - F.length(r["part"]) + F.length(led(r))).alias("point"))
+
+    def shown(d: Column) -> Column:
+        digits, point = d["digits"], d["point"]
+        n, e = F.length(digits), point - 1
+        plain = F.when(point >= n, F.rpad(digits, point, F.lit("0"))).when(point > 0, F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        scientific = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.abs(e).cast("string"))
+        return F.when(n == 0, "0").when((point > -6) & (point <= 21), plain).otherwise(scientific)
+
+    return F.concat(F.when(x < 0, "-").otherwise(""), let(let(let(text, read), placed), shown))
