@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm import divergence, spelling, toxicity
+from quillspark.llm import divergence, html, spelling, toxicity
 
 R = random.Random(13)
 WORDS = ["".join(R.choice("abcdeéß") for _ in range(R.randint(5, 9))) for _ in range(60)]
@@ -225,3 +226,71 @@ def test_held_out_labels_are_not_read(marked):
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs, turned)
     assert a.hashes.tolist() == b.hashes.tolist() and a.weights.tolist() == b.weights.tolist() and a.shift == b.shift
+
+
+# operator 10, markup
+
+
+def brute_tokens(page):
+    """Text and tags of a page, a character at a time; raw elements aren't taken out."""
+    out, text, i = [], "", 0
+    loose = False
+    while i < len(page):
+        rest = page[i:]
+        name = re.match(r"</?[a-zA-Z]", rest)
+        if page[i] != "<" or ">" not in rest or not (name or rest.startswith(("<!", "<?", "</"))):
+            text, i = text + page[i], i + 1
+            continue
+        if rest.startswith("<!--"):
+            end = rest.find("-->", 2)
+            end = len(rest) if end < 0 else end + 3
+        else:
+            quote, end, k = "", 0, 1
+            while name and not loose and k < len(rest):
+                c = rest[k]
+                if quote:
+                    quote = "" if c == quote else quote
+                elif c in "\"'" and k >= len(re.match(r"</?[a-zA-Z][a-zA-Z0-9:-]*", rest)[0]):
+                    quote = c
+                elif c == ">":
+                    end = k + 1
+                    break
+                k += 1
+            if not end:
+                loose = loose or bool(name)
+                end = rest.index(">") + 1
+        tag = re.match(r"</?([a-zA-Z][a-zA-Z0-9:-]*)", rest)
+        out.append((text, tag[1].lower() if tag else "", bool(tag) and rest[1] == "/"))
+        text, i = "", i + end
+    return [*out, (text, "", False)]
+
+
+def test_markup_by_characters():
+    r = random.Random(10)
+    pieces = ["<p>", "</p>", "<a href='x>y'>", '<b title="', '"', "'", "<", ">", "text", " a=b ", "<!-- c -->", "<!--", "-->", "<!doctype html>", "</", "/>", "<br/>", "1 < 2", "<?x?>", "<i"]
+    for _ in range(4000):
+        page = "".join(r.choice(pieces) for _ in range(r.randint(0, 12)))
+        assert [(t, g, e) for t, g, e, _, _ in html.tokens(page)] == brute_tokens(page), page
+
+
+def test_attributes_are_read_by_name():
+    text = lambda inside: html.content_of(html.lines(f"<article><p>Story.</p>{inside}</article>"))
+    for inside in (
+        '<div style="overflow:hidden">Kept.</div>', '<div data-hidden="false">Kept.</div>', '<p title="the hidden truth">Kept.</p>', '<a href="/hidden/valley">Kept.</a>', '<p data-class="ads">Kept.</p>', "<p aria-hidden=false>Kept.</p>",
+        '<p class="comment-on-policy">Kept.</p>', '<p class="related-work">Kept.</p>', '<p class="commentary">Kept.</p>', '<p class="ad-hoc">Kept.</p>', '<div class="content-with-sidebar">Kept.</div>', "<svg/>Kept.", '<p class="x" class="ads">Kept.</p>', '<p data-x="a>b">Kept.</p>',
+    ):
+        assert text(inside) == "Story. Kept.", inside
+    for inside in (
+        "<p hidden>x</p>", '<p HIDDEN="">x</p>', '<div aria-hidden="true">x</div>', '<div style="color:red; display: none">x</div>', '<div class="user-comments-list">x</div>', "<ol class=commentlist>x</ol>", '<div class="article-comments-section">x</div>',
+        '<div class="post-share-tools">x</div>', '<ins class="adsbygoogle">x</ins>', '<div class="sidebarLeft">x</div>', "<div id=cookieBanner>x</div>", '<div class="related-posts">x</div>', '<p id="a"class="ads">x</p>', "<div class=comment-17>x</div>",
+    ):
+        assert text(inside) == "Story.", inside
+
+
+def test_pages_take_linear_time():
+    n = 20_000
+    pages = ["<b>" * n + "</i>" * n, '<a "' * n, "<div " * n, "<a '" * (n + 1) + ">", '<a ">" ' * n, "<script>" + "</script " * n, "<div>" * n + "</div>" * n, "<div>" * n + "</p>" * n, "<!--" * n, "<" * n + ">", "</" * n + ">", "<p " + "a=b " * n + ">", "<p " + "=" * n + ">", "<p " + "/ " * n + ">"]
+    for page in pages:
+        began = time.process_time()
+        html.lines(page)
+        assert time.process_time() - began < 2, page[:30]
