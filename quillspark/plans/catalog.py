@@ -428,4 +428,4 @@ def batches(spark, sf_dir):
     return evidence.chunks(files, 40)
 
 
-from . import linked, more, nested, trees  # noqa: E402, F401  # register their queries
+from . import configured, linked, more, nested, trees  # noqa: E402, F401  # register their queries
