@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import batches as batching
 from ..operators import benchmark, evidence, judgment, reporting, workitems
 from . import bindings as b
 
@@ -425,7 +426,7 @@ def json_props(spark, sf_dir):
 def batches(spark, sf_dir):
     """Files of each folder in chunks of at most 40 cases."""
     files = b.cases(spark, sf_dir).groupBy(F.substring_index("path", "/", 1).alias("folder"), F.element_at(F.split("path", "/"), 2).alias("file")).agg(F.count("*").alias("n"))
-    return evidence.chunks(files, 40)
+    return batching.chunks(files, 40)
 
 
-from . import configured, linked, more, nested, trees  # noqa: E402, F401  # register their queries
+from . import batched, configured, linked, more, nested, trees  # noqa: E402, F401  # register their queries
