@@ -49,10 +49,10 @@ def chunks(files: DataFrame, most: int, order: list[str] | None = None) -> DataF
     placed = stored(running_sums(files, "folder", order, "n").select("folder", "file", "n", "sum"), "files")
     bucket = lambda at: F.floor(at / (most * BOUNDS)).alias("bucket")
     row = lambda at, kind, own: ["folder", at.alias("at"), F.lit(kind).alias("kind"), "file", own.alias("own"), bucket(at)]
-    ends = F.col("sum") - F.col("n") + most
+    # a file larger than the bound is alone
+    ends = F.greatest(F.col("sum"), F.col("sum") - F.col("n") + most)
     here = placed.select(*row(F.col("sum"), 0, F.lit(None).cast("string")))
     pointers = _beside(here.unionByName(placed.select(*row(ends, 1, F.col("file")))), forward=True).select("folder", F.col("own").alias("file"), F.col("beside.file").alias("next"))
-    # a file larger than the bound ends its batch at once, with the file behind it
     first = placed.groupBy("folder").agg(F.min_by("file", "sum").alias("file"))
     reached = stored(first.select("folder", "file", F.lit(0).cast("long").alias("chunk")), "borders")
     jump, steps = stored(pointers.where("next IS NOT NULL"), "pointers"), 1
