@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import running_sums
+
 #: Cases below which a rate is marked.
 LEAST = 5
 
@@ -71,7 +73,5 @@ def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def stratified(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows(dimension, ...) with their round: the first of each dimension, then the second, and so on."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("round", F.row_number().over(Window.partitionBy("dimension").orderBy(*order)).cast("long"))
+    """rows(dimension, ...) with their round: the first of each dimension, then the second, and so on. There are a few dimensions, so their rows are counted in ranges."""
+    return running_sums(rows.withColumn("_one", F.lit(1).cast("long")), "dimension", order, "_one").withColumnRenamed("sum", "round").drop("_one")

@@ -150,13 +150,14 @@ def probed(asked: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def alias_matches(specifiers: DataFrame, patterns: DataFrame) -> DataFrame:
-    """specifier, pattern: the best pattern of each. patterns(pattern, source, ord) are a few rows of configuration with at most one *; an exact one comes before the longest prefix, then by order."""
+    """specifier, pattern: the best pattern of each. patterns(pattern, source, ord) have at most one *; an exact one comes before the longest prefix, then by order. A specifier meets patterns by each of its beginnings, so this is a join on equal texts, whatever the number of patterns."""
     star = F.locate("*", F.col("pattern"))
     prefix, suffix = F.when(star > 0, F.expr("left(pattern, locate('*', pattern) - 1)")).otherwise(F.col("pattern")), F.when(star > 0, F.expr("substring(pattern, locate('*', pattern) + 1)")).otherwise(F.lit(""))
     usable = patterns.where(F.length("pattern") - F.length(F.translate("pattern", "*", "")) < 2).withColumns({"prefix": prefix, "suffix": suffix, "exact": star == 0})
     hit = F.when(F.col("exact"), F.col("specifier") == F.col("pattern")).otherwise(F.col("specifier").startswith(F.col("prefix")) & F.col("specifier").endswith(F.col("suffix")) & (F.length("specifier") >= F.length("prefix") + F.length("suffix")))
     best = F.min(F.struct("source", (~F.col("exact")).alias("loose"), (-F.length("prefix")).alias("shorter"), "ord", "pattern")).alias("r")
-    return specifiers.distinct().join(F.broadcast(usable), hit).groupBy("specifier").agg(best).select("specifier", "r.pattern")
+    begun = specifiers.distinct().select("specifier", F.explode(F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda n: F.left("specifier", n))).alias("prefix"))
+    return begun.join(usable, "prefix").where(hit).groupBy("specifier").agg(best).select("specifier", "r.pattern")
 
 
 def token_estimate(rows: DataFrame, ceiling: int, follow_ups: int = 1) -> DataFrame:

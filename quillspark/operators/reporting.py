@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .judgment import is_finding, share
+from .stored import stored
 
 BUCKETS = ("misleading", "weak", "acceptable", "strong", "needs-review", "not-applicable")
 # How bad a verdict is.
@@ -40,9 +41,9 @@ def top_files(totals: DataFrame, n: int = 10) -> DataFrame:
 
 
 def folders_with_other(totals: DataFrame, n: int = 12) -> DataFrame:
-    """The n largest folders; the others are merged. There are as many rows as folders."""
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "folder"))
-    named = totals.withColumn("folder", F.when(rank <= n, F.col("folder")).otherwise("Other"))
+    """The n largest folders; the others are merged. The largest are found by a limit, and broadcast as n names."""
+    largest = totals.orderBy(F.desc("n"), "folder").limit(n).select("folder", F.lit(True).alias("_large"))
+    named = totals.join(F.broadcast(largest), "folder", "left").withColumn("folder", F.when(F.col("_large"), F.col("folder")).otherwise("Other"))
     return named.groupBy("folder").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "review")])
 
 
@@ -138,9 +139,10 @@ def drilled_folders(counts: DataFrame, dominant: float = DOMINANT, least: int =
     over the rows that are still open, and a broadcast of that many names."""
     total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
     dirs = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    # one row for each directory; levels read the level before from the executors' storage
+    # one row for each directory; levels read the level before as it was written
     known = counts.select("path", "n", dirs.alias("dirs"))
-    rows = known.groupBy("dirs").agg(F.sum("n").alias("n")).select("dirs", "n", F.lit(".").alias("folder"), F.lit(0).alias("at"), F.lit(True).alias("live")).persist()
+    rows = known.groupBy("dirs").agg(F.sum("n").alias("n")).select("dirs", "n", F.lit(".").alias("folder"), F.lit(0).alias("at"), F.lit(True).alias("live"))
+    rows = stored(rows, "folders")
     split: list[str] = []
     for _ in range(depth):
         open_ = [r["folder"] for r in rows.where("live").groupBy("folder").agg(F.sum("n").alias("s")).where(F.col("s") >= dominant * total).select("folder").collect()]
@@ -158,6 +160,7 @@ def drilled_folders(counts: DataFrame, dominant: float = DOMINANT, least: int =
         split += parents
         moved = below.join(own.select("child", F.lit(True).alias("moved")), "child", "left")
         go = F.coalesce("moved", F.lit(False))
-        rows = moved.select("dirs", "n", F.when(go, F.col("child")).otherwise(F.col("folder")).alias("folder"), F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), go.alias("live")).persist()
+        rows = moved.select("dirs", "n", F.when(go, F.col("child")).otherwise(F.col("folder")).alias("folder"), F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), go.alias("live"))
+        rows = stored(rows, "folders")
     remainder = F.col("folder").isin(*split) if split else F.lit(False)
     return known.join(rows, "dirs").select("path", "folder", remainder.alias("remainder"))
