@@ -118,3 +118,11 @@ def verdicts_sql(judged: str, cases: str) -> str:
     return f"""SELECT p.case_id, CASE WHEN m THEN 'misleading' WHEN w THEN 'weak' WHEN NOT any_applies OR r OR NOT coalesce(c.pinned, false) THEN 'needs-review' ELSE 'healthy' END AS verdict
       FROM (SELECT case_id, coalesce(bool_or(status = 'judged' AND level = 'misleading'), false) AS m, coalesce(bool_or(status = 'judged' AND level = 'weak'), false) AS w,
         bool_or(applicable) AS any_applies, bool_or(status = 'needs-review') AS r FROM ({judged}) j GROUP BY case_id) p LEFT JOIN ({cases}) c ON p.case_id = c.case_id"""
+
+
+def paired_answers(answers: DataFrame) -> DataFrame:
+    """case_id, dimension, applicable, quality of answers(case_id, question, value), whose questions are <dimension>.applicable and <dimension>.quality. Other questions are left out; of repeated ones the larger value counts; a missing one is null."""
+    part, kind = F.regexp_extract("question", r"^(.+)\.(applicable|quality)$", 1), F.regexp_extract("question", r"^(.+)\.(applicable|quality)$", 2)
+    rows = answers.select("case_id", part.alias("dimension"), kind.alias("kind"), "value").where("dimension <> ''")
+    value = lambda k: F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k)
+    return rows.groupBy("case_id", "dimension").agg(value("applicable"), value("quality"))

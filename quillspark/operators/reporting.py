@@ -53,6 +53,13 @@ def heat_cells(judged: DataFrame, cases: DataFrame, key) -> DataFrame:
     return on.groupBy("folder", "dimension").agg(F.count("*").alias("n"), F.count_if(bucket().isin("misleading", "weak")).alias("bad")).withColumn("bad_share", share(F.col("bad"), F.col("n")))
 
 
+def drilled_cells(judged: DataFrame, placed: DataFrame, n: int = 12) -> DataFrame:
+    """Heat cells of placed(case_id, folder): the n folders of most cases are rows, the others together are Other."""
+    largest = placed.groupBy("folder").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "folder").limit(n).select("folder", F.lit(True).alias("_large"))
+    named = placed.join(F.broadcast(largest), "folder", "left").select("case_id", F.when(F.col("_large"), F.col("folder")).otherwise("Other").alias("folder"))
+    return heat_cells(judged, named, F.col("folder"))
+
+
 def worst_dimensions(cells: DataFrame, n: int = 3) -> DataFrame:
     """The n worst dimensions of each folder, in order. A folder has as many rows as there are dimensions."""
     order = Window.partitionBy("folder").orderBy(F.desc("bad_share"), F.desc("bad"), "dimension")

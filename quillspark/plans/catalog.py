@@ -429,4 +429,4 @@ def batches(spark, sf_dir):
     return batching.chunks(files, 40)
 
 
-from . import batched, configured, kept, linked, more, nested, trees, varied  # noqa: E402, F401  # register their queries
+from . import batched, configured, kept, linked, more, nested, scanned, trees, varied  # noqa: E402, F401  # register their queries

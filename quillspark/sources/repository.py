@@ -91,3 +91,28 @@ def frameworks(files: DataFrame, package: list[str]) -> DataFrame:
     used = F.array_distinct(F.filter(F.transform(specifiers(F.col("source")), lambda s: _named(FRAMEWORKS, s)), lambda f: f.isNotNull()))
     fallback = package[0] if len(set(package)) == 1 else "unknown"
     return files.withColumn("used", used).select("path", F.when(F.size("used") == 1, F.get("used", F.lit(0))).when(F.size("used") > 1, "unknown").otherwise(fallback).alias("framework"))
+
+
+#: Comments, strings, names and single signs of a source text. Literals of regular expressions aren't told from divisions.
+LEXEMES = r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?|[A-Za-z_$][\w$]*+|[^\s\w$]"""
+
+
+def module_references(files: DataFrame) -> DataFrame:
+    """path, ordinal, specifier, kind of files(path, source): what a file imports (import), passes on (export), loads (dynamic) or requires (require) by literal names, outside of comments and strings.
+
+    A text is cut into lexemes once, and one fold over them keeps the last two lexemes and the last import or export."""
+    lexemes = F.filter(F.regexp_extract_all(F.col("source"), F.lit(LEXEMES), F.lit(0)), lambda x: ~x.startswith("//") & ~x.startswith("/*"))
+    out_type = "array<struct<specifier:string,kind:string>>"
+    start = F.struct(F.lit("").alias("p3"), F.lit("").alias("p2"), F.lit("").alias("p1"), F.lit("").alias("word"), F.array().cast(out_type).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        call = (a["p1"] == "(") & (a["p3"] != ".")
+        kind = F.when(a["p1"] == "from", F.when(a["word"] == "export", "export").otherwise("import")).when((a["p1"] == "import") & (a["p2"] != "."), "import").when(call & (a["p2"] == "import"), "dynamic").when(call & (a["p2"] == "require"), "require")
+        literal = x.rlike("""^["'].*["']$""") & (F.length(x) > 2)
+        found = F.when(literal & kind.isNotNull(), F.array_append(a["out"], F.struct(F.substr(x, F.lit(2), F.length(x) - 2).alias("specifier"), kind.alias("kind")))).otherwise(a["out"])
+        # a member called import or export is no statement
+        word = F.when(x.isin("import", "export") & (a["p1"] != "."), x).otherwise(a["word"])
+        return F.struct(a["p2"].alias("p3"), a["p1"].alias("p2"), x.alias("p1"), word.alias("word"), found.alias("out"))
+
+    rows = files.select("path", F.aggregate(lexemes, start, step)["out"].alias("out"))
+    return rows.select("path", F.posexplode("out").alias("ordinal", "x")).select("path", "ordinal", "x.specifier", "x.kind")
