@@ -99,14 +99,18 @@ def schema_violations(values: DataFrame, schema: dict) -> DataFrame:
     """values(id, json) -> id, path, problem: every violation, each with its path. schema knows type, enum, properties, required, additionalProperties false and items.
 
     The schema is compiled: each of its nodes is a projection of the level above, and only values of the right type are
-    looked into. Rows are shuffled nowhere. What isn't JSON is a violation of its own."""
+    looked into. Rows are shuffled nowhere; values that hold others are written once. What isn't JSON is a violation of
+    its own."""
     rows = values.select("id", F.lit("$").alias("path"), F.try_parse_json("json").alias("v"))
     bad = rows.where("v IS NULL").select("id", "path", F.lit("not JSON").alias("problem"))
     return _violations(rows.where("v IS NOT NULL"), schema, bad)
 
 
 def _violations(rows: DataFrame, schema: dict, found: DataFrame) -> DataFrame:
-    rows = rows.withColumn("kind", _kind(F.col("v"))).withColumn("text", F.to_json("v"))
+    rows = rows.select("id", "path", _kind(F.col("v")).alias("kind"), F.to_json("v").alias("text"))
+    if "properties" in schema or "items" in schema:
+        # what others are projected from is read again, not made again for each of them
+        rows = stored(rows, "checked")
     if "type" in schema:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         number = F.col("text").try_cast("double")
