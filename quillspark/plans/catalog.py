@@ -32,8 +32,14 @@ def oracle_sql() -> dict:
 
 
 POLICIES = {1: judgment.V1, 2: judgment.V2, 3: judgment.V3}
-JUDGED = {v: judgment.judge_sql(b.ANSWERS_SQL, p) for v, p in POLICIES.items()}
-RUNS = judgment.judge_sql(b.RUN_ANSWERS_SQL, judgment.V3)
+# The published policies once more, for the SQL, so that it doesn't follow the operators' numbers.
+PUBLISHED = {
+    1: judgment.Policy(version=1, applicability=0.5, confidence=0.6, acceptable=0.65, deficient=0.65, critical=0.5, cuts=(1.0, 2.0, 3.0)),
+    2: judgment.Policy(version=2, applicability=0.5, confidence=None, acceptable=0.65, deficient=0.65, critical=0.5, cuts=(1.0, 2.0, 3.0)),
+    3: judgment.Policy(version=3, applicability=0.5, confidence=None, acceptable=0.575, deficient=0.65, critical=0.5, cuts=(1.0, 2.0, 3.0)),
+}
+JUDGED = {v: judgment.judge_sql(b.ANSWERS_SQL, p) for v, p in PUBLISHED.items()}
+RUNS = judgment.judge_sql(b.RUN_ANSWERS_SQL, PUBLISHED[3])
 VERDICT = {v: judgment.verdicts_sql(JUDGED[v], b.CASES_SQL) for v in JUDGED}
 SAMPLES = f"SELECT r.*, c.prescriptive, c.proven FROM ({RUNS}) r JOIN ({b.CASES_SQL}) c ON r.case_id = c.case_id"
 BUCKET = "CASE WHEN status = 'judged' THEN level ELSE status END"

@@ -141,11 +141,15 @@ def report_rows(spark, sf_dir):
     return audit.report_rows(judged(spark, sf_dir).select("case_id", "dimension", "level"), latency, cache, bundles(spark, sf_dir))
 
 
-@registered("""SELECT l_orderkey, CASE WHEN n < 3 AND NOT has THEN 'missing:q3' WHEN extra THEN 'unasked:q9' END AS problem FROM (SELECT l_orderkey, max(l_linenumber) AS n, bool_or(l_linenumber = 3) AS has, bool_or(l_linenumber = 7) AS extra FROM lineitem GROUP BY 1) x WHERE NOT (n >= 3 AND NOT has)""")
+@registered("""SELECT l_orderkey, CASE WHEN NOT has THEN 'missing:q3' WHEN extra THEN 'unasked:q9' WHEN l_orderkey % 6 = 0 THEN 'not-finite' END AS problem FROM (SELECT l_orderkey, bool_or(l_linenumber = 3) AS has, bool_or(l_linenumber = 7) AS extra FROM lineitem GROUP BY 1) x""")
 def answer_check(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"), F.max((F.col("l_linenumber") == 3).cast("int")).alias("has"), F.max((F.col("l_linenumber") == 7).cast("int")).alias("extra")).where("NOT (n >= 3 AND has = 0)")
-    ids = F.concat(F.array(F.lit("q1")), F.when(F.col("has") == 1, F.array(F.lit("q3"))).otherwise(F.array().cast("array<string>")), F.when(F.col("extra") == 1, F.array(F.lit("q9"))).otherwise(F.array().cast("array<string>")))
-    return rows.select("l_orderkey", audit.answer_problem(ids, F.array(F.lit("q1"), F.lit("q3")), F.array(F.col("n").cast("double"))).alias("problem"))
+    rows = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"), F.bool_or(F.col("l_linenumber") == 3).alias("has"), F.bool_or(F.col("l_linenumber") == 7).alias("extra"))
+    none = F.array().cast("array<string>")
+    ids = F.concat(F.array(F.lit("q1")), F.when(F.col("has"), F.array(F.lit("q3"))).otherwise(none), F.when(F.col("extra"), F.array(F.lit("q9"))).otherwise(none))
+    # of every sixth order the value is no number, none or too large
+    odd = F.get(F.array(F.lit(float("nan")), F.lit(None).cast("double"), F.lit(float("inf"))), (F.col("l_orderkey") / 6 % 3).cast("int"))
+    value = F.when(F.col("l_orderkey") % 6 == 0, odd).otherwise(F.col("n").cast("double"))
+    return rows.select("l_orderkey", audit.answer_problem(ids, F.array(F.lit("q1"), F.lit("q3")), F.array(value)).alias("problem"))
 
 
 @registered("SELECT doc_id, CASE WHEN ceil((n * 9 + 600) / 3.0::DOUBLE) > 64000 THEN 'total' WHEN ceil((n * 9 + 300) / 3.0::DOUBLE) > 32000 THEN 'state-and-question' END AS over FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) d")
