@@ -435,4 +435,4 @@ def batches(spark, sf_dir):
     return batching.chunks(files, 40)
 
 
-from . import batched, configured, kept, linked, more, nested, requested, scanned, trees, varied  # noqa: E402, F401  # register their queries
+from . import batched, configured, corpora, kept, linked, more, nested, requested, scanned, trees, varied  # noqa: E402, F401  # register their queries

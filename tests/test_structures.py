@@ -8,8 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from quillspark.functions import script_number, utf16_length
-from quillspark.operators import aliases, batches, declarations, selection, store, suites, values
-from quillspark.sources import reports
+from quillspark.operators import aliases, batches, declarations, requests, resume, selection, store, suites, values
+from quillspark.sources import reports, repository
 
 R = random.Random(7)
 SPANS = "file string, start long, stop long, kind string, name string"
@@ -258,3 +258,49 @@ def test_reports_in_a_folder(spark, tmp_path):
     for bad in ("../reports/run=r1", "..", "", "r9", "a\\b"):
         assert reports.report_of(lines, bad).count() == 0
     assert {r.run for r in reports.report_of(lines.where("run IN ('r1', 'r2', 'r4')")).collect()} == {"r1"}
+
+
+def test_module_references(spark):
+    long = "x" * 60_000
+    source = f"""// import 'no'
+/* require("no") */ import a, {{ b as c }} from "one"; import 'two'
+const s = 'it\\'s from "no"', t = `import "no" {long}`, u = "{long}";
+export * from './three'; export {{ d }} from "./four"
+import type {{ T }} from './five';
+const l = await import( /* why */ "./six"), r = require('seven'); o.require('no'); o.import("no"); require(name); from('no')
+"""
+    df = spark.createDataFrame([("a", source), ("b", ""), ("c", None), ("d", "/* never closed import 'no'")], "path string, source string")
+    got = [(r.path, r.ordinal, r.specifier, r.kind) for r in repository.module_references(df).orderBy("path", "ordinal").collect()]
+    kinds = [("one", "import"), ("two", "import"), ("./three", "export"), ("./four", "export"), ("./five", "import"), ("./six", "dynamic"), ("seven", "require")]
+    assert got == [("a", i, s, k) for i, (s, k) in enumerate(kinds)]
+
+
+def test_requests(spark):
+    cases = spark.createDataFrame([(1, "n", [("suite", "s")], "jest", "p", ["skip", "only"]), (2, 'q"', [], "jest", "p", [])], "case_id int, name string, ancestry array<struct<kind: string, name: string>>, framework string, path string, modifiers array<string>")
+    fragments = spark.createDataFrame([(1, "helper", "a", None, "hop-1", False, "é\n"), (1, "test", "z", "s", "test-body", True, "b"), (1, "helper", "a", None, "hop-1", False, "A")], "case_id int, kind string, path string, symbol string, reason string, truncated boolean, content string")
+    none = spark.createDataFrame([], "case_id int, path string, rule string, specifier string, reason string, symbol string")
+    asked = requests.questions(("x",), {"x.quality": "How?"})
+    got = {r.case_id: r.request for r in requests.built_requests(cases, fragments, none, none, none, asked, "m").collect()}
+    state = {"testCaseId": "1", "name": "n", "structuralAncestry": [{"kind": "suite", "name": "s"}], "framework": "jest", "repositoryRelativePath": "p", "modifiers": ["only", "skip"]}
+    told = [{"kind": k, "path": p} | ({"symbol": s} if s else {}) | {"selectionReason": r, "truncated": t, "content": c} for k, p, s, r, t, c in (("test", "z", "s", "test-body", True, "b"), ("helper", "a", None, "hop-1", False, "A"), ("helper", "a", None, "hop-1", False, "é\n"))]
+    want = {"state": state | {"fragments": told, "denied": [], "unresolved": [], "omitted": []}, "model": "m", "questions": asked}
+    assert got[1] == json.dumps(want, separators=(",", ":"), ensure_ascii=False) and list(asked) == ["x.applicable", "x.quality"] and json.loads(got[2])["state"]["name"] == 'q"'
+    sources = spark.createDataFrame([(1, "a\r\nb"), (2, "a\nb")], "case_id int, text string")
+    keys = {r.case_id: r.key for r in requests.request_keys(requests.built_requests(cases, fragments, none, none, none, asked, "m"), sources, "v1").collect()}
+    assert len(set(keys.values())) == 2 and all(len(k) == 64 for k in keys.values())
+
+
+def test_selected_cases_are_all_there(spark):
+    import pytest
+
+    corpus_ = spark.createDataFrame([(1, "a"), (2, "b")], "case_id int, name string")
+    assert {r.name for r in resume.selected_cases(spark.createDataFrame([(2,)], "case_id int"), corpus_).collect()} == {"b"}
+    with pytest.raises(Exception, match="not in the corpus: 3"):
+        resume.selected_cases(spark.createDataFrame([(2,), (3,)], "case_id int"), corpus_).collect()
+
+
+def test_framework_hints(spark):
+    repo = {"package.json": '{"jest": {}}', "a/package.json": '{"scripts": {"test": "vitest"}, "jest": {}}', "b/package.json": "{}", "b/jest.config.ts": "", "c/package.json": '{"devDependencies": {"@vitest/x": "1"}}', "c/jest.config.js": "", "d/package.json": "{"}
+    files = spark.createDataFrame([(x,) for x in ("t.ts", "a/x/t.ts", "b/t.ts", "c/t.ts", "d/t.ts", "e/t.ts")], "path string")
+    got = {r.path: r.hint for r in resume.framework_hints(files, spark.createDataFrame(list(repo.items()), "path string, text string")).collect()}
+    assert got == {"t.ts": "jest", "a/x/t.ts": None, "b/t.ts": "jest", "c/t.ts": None, "d/t.ts": None, "e/t.ts": "jest"}
