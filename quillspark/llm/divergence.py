@@ -172,16 +172,10 @@ def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def share_column(count: Column, n: Column, v: Column) -> Column:
-    """`share` for columns; n is the sum of counts, v the number of kept terms."""
-    wide = lambda c: c.cast("decimal(20,0)")
-    left, out = wide(count + PLUS), F.lit(0).cast("long")
-    total = wide(n + PLUS * v)
-    for _ in range(3):
-        left = (left * 1000).cast("decimal(24,0)")
-        step = (left - left % total) / total
-        out = out * 1000 + step.cast("long")
-        left = wide(left % total)
-    return out + 1
+    """`share` for columns; n is the sum of counts, v the number of kept terms. Products that don't fit a long are divided as decimals."""
+    wide, total = (count + PLUS).cast("decimal(20,0)") * F.lit(SCALE), n + PLUS * v
+    exact = F.call_function("div", wide, total.cast("decimal(20,0)"))
+    return F.when(count < (1 << 63) // SCALE - PLUS, F.call_function("div", (count + PLUS) * SCALE, total)).otherwise(exact) + 1
 
 
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
