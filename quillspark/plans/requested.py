@@ -29,7 +29,7 @@ _JOINED = "coalesce((SELECT string_agg({0}, ',' ORDER BY {1}) FROM ({2}) x WHERE
 _SYMBOL = "CASE WHEN symbol IS NULL THEN '' ELSE '\"symbol\":' || to_json(symbol) || ',' END"
 _FRAGMENTS = _JOINED.format(
     "'{\"kind\":\"' || kind || '\",\"path\":\"' || path || '\",' || " + _SYMBOL + " || '\"selectionReason\":\"' || reason || '\",\"truncated\":' || truncated || ',\"content\":' || to_json(content) || '}'",
-    "list_position(['test', 'helper', 'production-seam', 'mock-target'], kind), path, coalesce(symbol, ''), content", _select("lineitem", _FRAGMENT, _IS_FRAGMENT),
+    "list_position(['test', 'helper', 'production-seam', 'mock-target'], kind), path, coalesce(symbol, ''), content, reason, truncated", _select("lineitem", _FRAGMENT, _IS_FRAGMENT),
 )
 _DENIED = _JOINED.format("'{\"path\":\"' || path || '\",\"rule\":\"' || rule || '\"}'", "path, rule", _select("lineitem", {"case_id": "l_partkey", "path": "concat('k', l_orderkey, '.pem')", "rule": "'deny-list:*.pem'"}, _IS_DENIED))
 _OPEN = _JOINED.format("'{\"specifier\":\"' || specifier || '\",\"reason\":\"' || reason || '\"}'", "specifier, reason", _select("lineitem", {"case_id": "l_partkey", "specifier": "concat('m', l_orderkey)", "reason": "'bare'"}, _IS_OPEN))
