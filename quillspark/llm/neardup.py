@@ -91,7 +91,8 @@ def _sketches(shingle: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 out: list[list] = [[], [], [], [], []]
-                texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+                # as bytes at once: no second copy of a batch's texts as strings
+                texts = batch.column("text").fill_null("").cast(pa.binary()).to_pylist()
                 for s in shingle_sets(texts, shingle):
                     d1, d2 = (s.sum(dtype=U), mix(s + U(1)).sum(dtype=U)) if len(s) else (U(0), U(0))
                     for col, x in zip(out, (len(s), int(np.int64(d1.view(np.int64))), int(np.int64(d2.view(np.int64))), sketch(s).tobytes() if len(s) else None, parities(s))):
@@ -192,7 +193,7 @@ def _sets(shingle: int):
 
         with np.errstate(over="ignore"):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets([(t or "").encode() for t in b.column("text").to_pylist()], shingle)], pa.binary())], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text").fill_null("").cast(pa.binary()).to_pylist(), shingle)], pa.binary())], ["id", "s"])
 
     return run
 
