@@ -11,6 +11,13 @@ def safe_share(n: Column, of: Column) -> Column:
     return F.when(of == 0, 0.0).otherwise(n / of)
 
 
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since 1970, to the nearest one; half a millisecond counts away from 1970."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    near = F.floor((F.abs(us) + 500) / 1000)
+    return F.when(us < 0, -near).otherwise(near)
+
+
 def html_escaped(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import epoch_millis
+
 SKIPS = ("skip", "todo", "evidence-unavailable")
 
 
@@ -115,9 +117,10 @@ def progress_marks(rows: DataFrame, total: int) -> DataFrame:
 
 
 def tokens_within(log: DataFrame, ms: int) -> DataFrame:
-    """id, tokens: tokens of all requests in the window of time that ends with each. Time is dealt into buckets of the window's length; a request only needs its own bucket and the one before, so no task holds all requests."""
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = log.select("id", "tokens", at.alias("at")).withColumn("bucket", F.floor(F.col("at") / ms))
+    """id, tokens: tokens of all requests in the window of time that ends with each. Time is dealt into buckets of the window's length; a request only needs its own bucket and the one before, so no task holds all requests. Requests without a time are each other's window: one sum."""
+    rows = log.select("id", "tokens", epoch_millis(F.col("ts")).alias("at")).withColumn("bucket", F.floor(F.col("at") / ms))
+    timeless, rows = rows.where("at IS NULL"), rows.where("at IS NOT NULL")
     both = rows.withColumn("own", F.lit(True)).unionByName(rows.withColumns({"bucket": F.col("bucket") + 1, "own": F.lit(False)}))
     frame = Window.partitionBy("bucket").orderBy("at").rangeBetween(-(ms - 1), 0)
-    return both.withColumn("spent", F.sum("tokens").over(frame)).where("own").select("id", F.col("spent").alias("tokens"))
+    timed = both.withColumn("spent", F.sum("tokens").over(frame)).where("own").select("id", F.col("spent").alias("tokens"))
+    return timed.unionByName(timeless.select("id").crossJoin(timeless.agg(F.sum("tokens").alias("tokens"))))
