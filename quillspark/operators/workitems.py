@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import epoch_millis
+
 TERMINAL = ("completed", "cached", "failed")
 
 
@@ -50,11 +52,10 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def requests_within(log: DataFrame, seconds: int) -> DataFrame:
-    """id, n: rows of the same identity in the window of time that ends with each row. Time is dealt into buckets of the window's length; a row only needs its own bucket and the one before, so a busy identity is spread over tasks."""
+    """id, n: rows of the same identity in the window of time that ends with each row. Time is dealt into buckets of the window's length; a row only needs its own bucket and the one before, so a busy identity is spread over tasks. Rows without a time are each other's window."""
     ms = seconds * 1000
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = log.select("id", "identity", at.alias("at")).withColumn("bucket", F.floor(F.col("at") / ms))
-    both = rows.withColumn("own", F.lit(True)).unionByName(rows.withColumns({"bucket": F.col("bucket") + 1, "own": F.lit(False)}))
+    rows = log.select("id", "identity", epoch_millis(F.col("ts")).alias("at")).withColumn("bucket", F.floor(F.col("at") / ms))
+    both = rows.withColumn("own", F.lit(True)).unionByName(rows.where("bucket IS NOT NULL").withColumns({"bucket": F.col("bucket") + 1, "own": F.lit(False)}))
     frame = Window.partitionBy("identity", "bucket").orderBy("at").rangeBetween(-(ms - 1), 0)
     return both.withColumn("n", F.count("*").over(frame)).where("own").select("id", "identity", "n")
 

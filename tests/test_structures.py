@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillspark.functions import script_number, utf16_length
-from quillspark.operators import aliases, batches, declarations, requests, resume, selection, store, suites, values
+from quillspark.operators import aliases, audit, batches, declarations, evidence, requests, resume, selection, store, suites, values, workitems
 from quillspark.sources import reports, repository
 
 R = random.Random(7)
@@ -304,3 +304,15 @@ def test_framework_hints(spark):
     files = spark.createDataFrame([(x,) for x in ("t.ts", "a/x/t.ts", "b/t.ts", "c/t.ts", "d/t.ts", "e/t.ts")], "path string")
     got = {r.path: r.hint for r in resume.framework_hints(files, spark.createDataFrame(list(repo.items()), "path string, text string")).collect()}
     assert got == {"t.ts": "jest", "a/x/t.ts": None, "b/t.ts": "jest", "c/t.ts": None, "d/t.ts": None, "e/t.ts": "jest"}
+
+
+def test_windows_round_to_milliseconds(spark):
+    import datetime
+
+    at = lambda us: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(microseconds=us)
+    old = lambda us: datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(microseconds=us)
+    # 1 and 2 share millisecond 3, 3 is 999 ms later; 4 and 5 share -2; 6 and 7 have no time
+    times = [at(2825), at(3100), at(1_002_400), old(-1500), old(-2400), None, None]
+    log = spark.createDataFrame([(i + 1, "a", 10 ** i, t) for i, t in enumerate(times)], "id long, identity string, tokens long, ts timestamp")
+    assert {r.id: r.n for r in workitems.requests_within(log, 1).collect()} == {1: 2, 2: 2, 3: 3, 4: 2, 5: 2, 6: 2, 7: 2}
+    assert {r.id: r.tokens for r in audit.tokens_within(log, 1000).collect()} == {1: 11, 2: 11, 3: 111, 4: 11000, 5: 11000, 6: 1100000, 7: 1100000}
