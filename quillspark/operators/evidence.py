@@ -142,11 +142,15 @@ ADDED = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
 
 def probed(asked: DataFrame, files: DataFrame) -> DataFrame:
     """base, path: the first candidate of each asked base path that exists: itself, another extension, an added one, an index file."""
-    base = F.col("base")
-    rewritten = [F.when(base.endswith(f".{a}"), F.concat(F.regexp_replace(base, rf"\.{a}$", ""), F.lit(f".{b}"))) for a, bs in REWRITTEN.items() for b in bs]
-    added = [F.concat(base, F.lit(f".{x}")) for x in ADDED] + [F.concat(base, F.lit(f"/index.{x}")) for x in ADDED]
-    candidates = asked.select("base", F.posexplode(F.array(base, *rewritten, *added)).alias("pos", "path")).where("path IS NOT NULL")
-    return candidates.join(files.select("path").distinct(), "path").groupBy("base").agg(F.min(F.struct("pos", "path")).alias("r")).select("base", "r.path")
+    path = F.col("path")
+    # the other way round: what must be asked for a file to be a candidate, and its place; a file has few such bases, a base many candidates
+    rewritten = [(f".{b}", f".{a}") for a, bs in REWRITTEN.items() for b in bs]
+    ends = [("", ""), *rewritten, *((f".{x}", "") for x in ADDED), *((f"/index.{x}", "") for x in ADDED)]
+    of = [F.when(path.endswith(end), F.struct(F.concat(F.left(path, F.length(path) - len(end)), F.lit(by)).alias("base"), F.lit(pos).alias("pos"))) for pos, (end, by) in enumerate(ends)]
+    offered = files.select("path", F.explode(F.array_compact(F.array(*of))).alias("x")).select("x.base", F.struct("x.pos", "path").alias("r"), F.lit(False).alias("asked"))
+    # no join, so neither side is sent whole to every task
+    both = asked.select("base", F.lit(None).cast(offered.schema["r"].dataType).alias("r"), F.lit(True).alias("asked")).unionByName(offered)
+    return both.groupBy("base").agg(F.bool_or("asked").alias("asked"), F.min("r").alias("r")).where("asked AND r IS NOT NULL").select("base", "r.path")
 
 
 def alias_matches(specifiers: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -316,3 +316,12 @@ def test_windows_round_to_milliseconds(spark):
     log = spark.createDataFrame([(i + 1, "a", 10 ** i, t) for i, t in enumerate(times)], "id long, identity string, tokens long, ts timestamp")
     assert {r.id: r.n for r in workitems.requests_within(log, 1).collect()} == {1: 2, 2: 2, 3: 3, 4: 2, 5: 2, 6: 2, 7: 2}
     assert {r.id: r.tokens for r in audit.tokens_within(log, 1000).collect()} == {1: 11, 2: 11, 3: 111, 4: 11000, 5: 11000, 6: 1100000, 7: 1100000}
+
+
+def test_probed_without_broadcast(spark):
+    files = ["a.js", "a.ts", "b.tsx", "b.mts", "c/index.cjs", "c.tsx", ".ts", "d.jsx/index.ts", "d.tsx", "e", "e.ts", None]
+    asked = ["a.js", "a.js", "a", "b.js", "b.mjs", "b", "c", "", "d.jsx", "e", "x", None]
+    df = evidence.probed(spark.createDataFrame([(x,) for x in asked], "base string"), spark.createDataFrame([(x,) for x in files], "path string"))
+    assert {r.base: r.path for r in df.collect()} == {"a.js": "a.js", "a": "a.ts", "b.js": "b.tsx", "b.mjs": "b.mts", "b": "b.tsx", "c": "c.tsx", "": ".ts", "d.jsx": "d.tsx", "e": "e"}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
