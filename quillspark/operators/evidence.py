@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 # Paths that are never read as evidence.
 DENIED = (".env*", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa*", "**/secrets/**", "**/.git/**", "**/node_modules/**", "**/dist/**", "**/build/**", "**/coverage/**", "**/vendor/**", "*.min.js", "*.map", "*.d.ts")
 BYTES_MOST, BYTES_LEAST, USD = 4.8, 3.0, 0.042
@@ -105,13 +107,26 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("r")).select(*keys, "r.*")
 
 
+#: Targets of one row of a helper's imports.
+LISTED = 1024
+
+
 def two_hops(edges: DataFrame) -> DataFrame:
     """start, target, hop, importer, specifier of edges(a, b, specifier): files reached in one step, and in two by way of a helper; the least hop of each, ties by importer and specifier, never the start itself."""
-    e = edges.where("a <> b").distinct()
-    one = e.select(F.col("a").alias("start"), F.col("b").alias("target"), F.lit(1).cast("long").alias("hop"), F.col("a").alias("importer"), "specifier")
-    two = e.where(helper_role(F.col("b"))).select(F.col("a").alias("start"), F.col("b").alias("via")).distinct().join(e.select(F.col("a").alias("via"), F.col("b").alias("target"), "specifier"), "via")
-    both = one.unionByName(two.select("start", "target", F.lit(2).cast("long").alias("hop"), F.col("via").alias("importer"), "specifier"))
-    return both.where("start <> target").groupBy("start", "target").agg(F.min(F.struct("hop", "importer", "specifier")).alias("r")).select("start", "target", "r.*")
+    e = stored(edges.where("a <> b").distinct().groupBy("a", "b").agg(F.min("specifier").alias("specifier")), "edges")
+    # files as numbers in the order of their paths: pairs of numbers are grouped without a sort of texts
+    ids = stored(e.select(F.col("a").alias("file")).union(e.select("b")).distinct().orderBy("file").withColumn("id", F.monotonically_increasing_id()), "files")
+    number = lambda c: ids.select(F.col("file").alias(c), F.col("id").alias(f"{c}_id"))
+    e = stored(e.join(number("a"), "a").join(number("b"), "b"), "edges")
+    # what a helper imports travels as lists to its importers, so a step's pairs are made behind the shuffle
+    place = F.floor((F.row_number().over(Window.partitionBy("a_id").orderBy("b_id")) - 1) / LISTED)
+    lists = e.withColumn("place", place).groupBy(F.col("a_id").alias("via"), "place").agg(F.collect_list("b_id").alias("targets")).drop("place")
+    ways = e.where(helper_role(F.col("b"))).select(F.col("a_id").alias("start"), F.col("b_id").alias("via")).join(lists, "via").repartition("start")
+    two = ways.select("start", "via", F.explode("targets").alias("target")).where("start <> target").groupBy("start", "target").agg(F.min("via").alias("via"))
+    two = two.join(e.select(F.col("a_id").alias("start"), F.col("b_id").alias("target")), ["start", "target"], "left_anti")
+    two = two.join(e.select(F.col("a_id").alias("via"), F.col("b_id").alias("target"), F.col("a").alias("importer"), F.col("b").alias("target_file"), "specifier"), ["via", "target"])
+    two = two.join(ids.withColumnRenamed("id", "start"), "start").select(F.col("file").alias("start"), F.col("target_file").alias("target"), F.lit(2).cast("long").alias("hop"), "importer", "specifier")
+    return e.select(F.col("a").alias("start"), F.col("b").alias("target"), F.lit(1).cast("long").alias("hop"), F.col("a").alias("importer"), "specifier").unionByName(two)
 
 
 def target_key(path: Column) -> Column:

@@ -338,3 +338,15 @@ def test_spans_are_ordered_once(spark):
     plan = hooks._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and "windowspecdefinition(file" in plan and "test#" not in plan[plan.index("windowspecdefinition(file"):].split("\n")[0]
     assert {r.ancestry for r in suites.ancestries(df, 64).where("test < 24").collect()} == {"suite:s#0/test:t#0", "suite:s#0/test:t#1"}
+
+
+def test_two_hops_group_numbers(spark, monkeypatch):
+    """The least importer of a pair by number, lists of targets in parts, none in the specifier; a pair's texts aren't sorted."""
+    monkeypatch.setattr(evidence, "LISTED", 2)
+    rows = [("src/a.ts", f"tests/{h}.ts", "./h") for h in "cb"] + [(f"tests/{h}.ts", f"src/t{i}.ts", None if i == 2 else s) for h in "bc" for i in range(5) for s in ("./z", "./y")]
+    rows += [("src/a.ts", "src/t0.ts", "./one"), ("tests/b.ts", "src/a.ts", "./self"), ("tests/b.ts", "tests/b.ts", "./own"), ("src/t1.ts", "src/u.ts", "./no")]
+    df = evidence.two_hops(spark.createDataFrame(rows, "a string, b string, specifier string"))
+    got = {r.target: (r.hop, r.importer, r.specifier) for r in df.where("start = 'src/a.ts'").collect()}
+    assert got == {"tests/b.ts": (1, "src/a.ts", "./h"), "tests/c.ts": (1, "src/a.ts", "./h"), "src/t0.ts": (1, "src/a.ts", "./one"), **{f"src/t{i}.ts": (2, "tests/b.ts", None if i == 2 else "./y") for i in range(1, 5)}}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
