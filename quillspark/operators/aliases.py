@@ -17,6 +17,8 @@ from .stored import stored
 CONFIGS = ("tsconfig.json", "jsconfig.json")
 CONDITIONS = ("default", "import", "node")
 MAX_DEPTH = 64
+#: Tasks that what is asked of a high folder is dealt to.
+PARTS = 64
 REFUSALS = "root string, reason string, declared_in string, detail string"
 
 
@@ -44,8 +46,15 @@ def nearest(files: DataFrame, configs: DataFrame, names: tuple[str, ...] = CONFI
     base = F.element_at(F.split("path", "/"), -1)
     rank = F.array_position(F.array(*[F.lit(n) for n in names]), base)
     there = configs.where(base.isin(*names)).select(folder(F.col("path")).alias("folder"), rank.alias("rank"), F.col("path").alias("config"))
-    asked = files.select("path").distinct().select("path", F.posexplode(ancestor_folders(F.col("path"))).alias("up", "folder"))
-    return asked.join(there, "folder").groupBy("path").agg(F.min(F.struct("up", "rank", "config")).alias("x")).select("path", "x.config")
+    asked = files.select("path", folder(F.col("path")).alias("own")).distinct()
+    # folders climb, not files; the root and its folders are above very many, so what is asked of them is dealt into parts
+    climbing = asked.select("own").distinct().select("own", F.posexplode(ancestor_folders(F.concat("own", F.when(F.col("own") != "", "/").otherwise("")))).alias("up", "folder"))
+    high = ~F.col("folder").contains("/")
+    climbing = climbing.withColumn("part", F.when(high, F.pmod(F.hash("own"), F.lit(PARTS))).otherwise(0))
+    first = there.groupBy("folder").agg(F.min(F.struct("rank", "config")).alias("x")).select("folder", "x.config")
+    first = first.withColumn("part", F.explode(F.when(high, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    found = climbing.join(first, ["folder", "part"]).groupBy("own").agg(F.min(F.struct("up", "config")).alias("x")).select("own", "x.config")
+    return asked.join(found, "own").select("path", "config")
 
 
 def _strings(text: Column) -> Column:

@@ -350,3 +350,13 @@ def test_two_hops_group_numbers(spark, monkeypatch):
     assert got == {"tests/b.ts": (1, "src/a.ts", "./h"), "tests/c.ts": (1, "src/a.ts", "./h"), "src/t0.ts": (1, "src/a.ts", "./one"), **{f"src/t{i}.ts": (2, "tests/b.ts", None if i == 2 else "./y") for i in range(1, 5)}}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_nearest_spreads_high_folders(spark):
+    """Files of many folders below one configuration at the root: no task gets them all."""
+    files = spark.createDataFrame([(f"a/b{i % 50}/f{i}.ts",) for i in range(500)] + [("top.ts",), ("a/b1/c/d/x.ts",), ("z/y.ts",), ("z/y.ts",)], "path string")
+    configs = spark.createDataFrame([("jsconfig.json",), ("tsconfig.json",), ("a/b7/jsconfig.json",), ("a/b1/c/tsconfig.json",), ("z/other.json",)], "path string")
+    df = aliases.nearest(files, configs)
+    got = {r.path: r.config for r in df.collect()}
+    assert df.count() == len(got) == 503 and got["top.ts"] == got["z/y.ts"] == got["a/b3/f3.ts"] == "tsconfig.json" and got["a/b7/f57.ts"] == "a/b7/jsconfig.json" and got["a/b1/c/d/x.ts"] == "a/b1/c/tsconfig.json"
+    assert "part" in df._jdf.queryExecution().optimizedPlan().toString()
