@@ -85,7 +85,8 @@ def chains(roots: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place has, from the root on, minus the number of the extends taken; so the least place of a root is what counts: a
     configuration before what it extends, a later extends before an earlier one. A configuration on its own way back to
     the root is refused as a cycle."""
-    known = stored(settings(configs), "settings")
+    # written rows are far smaller than rows in memory, so no join here is left to their size: nothing is sent whole by way of the driver
+    known = stored(settings(configs), "settings").hint("merge")
     empty = F.array().cast("array<int>")
     level = roots.select("root", F.col("root").alias("path"), empty.alias("place"), F.array("root").alias("way")).join(known, "path")
     level = stored(level, "chain")
@@ -102,7 +103,7 @@ def chains(roots: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hit = tried.join(known, "path").groupBy("root", "place", "by", "i").agg(F.min_by(F.struct("way", "detail", "path", "folder", "ok", "base_url", "paths", "extends"), "try").alias("x"))
         hit = stored(hit.select("root", "place", "by", "i", "x.*"), "chain")
         keys = ["root", "place", "by", "i"]
-        missing = asked.where("reason IS NULL").join(hit.select(*keys), keys, "left_anti").withColumn("reason", F.lit("extends-missing"))
+        missing = asked.where("reason IS NULL").join(hit.select(*keys).hint("merge"), keys, "left_anti").withColumn("reason", F.lit("extends-missing"))
         cycle = hit.where(F.array_contains("way", F.col("path"))).withColumn("reason", F.lit("extends-cycle"))
         for rows in (asked.where("reason IS NOT NULL"), missing, cycle):
             refused = refused.unionByName(rows.select("root", "reason", F.col("by").alias("declared_in"), "detail"))

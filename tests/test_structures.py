@@ -360,3 +360,11 @@ def test_nearest_spreads_high_folders(spark):
     got = {r.path: r.config for r in df.collect()}
     assert df.count() == len(got) == 503 and got["top.ts"] == got["z/y.ts"] == got["a/b3/f3.ts"] == "tsconfig.json" and got["a/b7/f57.ts"] == "a/b7/jsconfig.json" and got["a/b1/c/d/x.ts"] == "a/b1/c/tsconfig.json"
     assert "part" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chains_send_nothing_through_the_driver(spark):
+    configs = spark.createDataFrame([("a/tsconfig.json", '{"extends": ["../base.json", "./none"]}'), ("base.json", "{}")], "path string, text string")
+    found, refused = aliases.chains(spark.createDataFrame([("a/tsconfig.json",)], "root string"), configs)
+    assert {(r.path, tuple(r.place)) for r in found.collect()} == {("a/tsconfig.json", ()), ("base.json", (0,))}
+    assert [(r.reason, r.detail) for r in refused.collect()] == [("extends-missing", "./none")]
+    assert "Broadcast" not in refused._jdf.queryExecution().executedPlan().toString()
