@@ -127,7 +127,7 @@ def path_entries(roots: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataF
     # a baseUrl outside of the root leaves nothing to see targets from
     seen = merged.select("root", F.when(F.col("b").isNotNull(), F.col("base")).otherwise(F.col("p.folder")).alias("from"), F.col("p.path").alias("declared_in"), F.posexplode("p.paths").alias("at", "e"))
     each = seen.select("root", "from", "declared_in", "at", "e.pattern", F.posexplode("e.targets").alias("i", "detail")).withColumn("target", contained(F.col("from"), F.col("detail")))
-    whole = each.where("target IS NOT NULL").groupBy("root", "declared_in", "pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "target"))), lambda x: x["target"]).alias("targets"))
+    whole = each.where("target IS NOT NULL").groupBy("root", "declared_in", "pattern").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "target"))), lambda x: x["target"]).alias("targets"))
     entries = whole.select("root", F.lit("paths").alias("source"), "pattern", "targets", "declared_in")
     star = F.when(F.col("base") == "", F.lit("*")).otherwise(F.concat("base", F.lit("/*")))
     own = merged.where("base IS NOT NULL").select("root", F.lit("baseUrl").alias("source"), F.lit("*").alias("pattern"), F.array(star).alias("targets"), F.col("b.path").alias("declared_in"))

@@ -25,7 +25,7 @@ def with_bundles(cases: DataFrame, bundles: DataFrame) -> DataFrame:
 def bundle_totals(fragments: DataFrame) -> DataFrame:
     """case_id, fragments, bytes, truncated, hash of fragments(case_id, path, start, text, truncated): the hash is of their canonical order."""
     row = F.struct("path", "start", F.sha2(F.col("text"), 256).alias("h"))
-    listed = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.concat_ws(":", x["path"], x["start"].cast("string"), x["h"]))
+    listed = F.transform(F.sort_array(F.collect_list(row)), lambda x: F.concat_ws(":", x["path"], x["start"].cast("string"), x["h"]))
     return fragments.groupBy("case_id").agg(
         F.count("*").alias("fragments"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.count_if("truncated").alias("truncated"), F.sha2(F.array_join(listed, "\n"), 256).alias("hash")
     )
@@ -65,7 +65,7 @@ def coverage(outcomes: DataFrame) -> DataFrame:
 def diagnostics_by_code(rows: DataFrame) -> DataFrame:
     """code, n, severities: severity=count in order, of rows(code, severity)."""
     per = rows.groupBy("code", "severity").agg(F.count("*").alias("n"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("severity", "n"))), lambda x: F.concat_ws("=", x["severity"], x["n"].cast("string"))), ",")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("severity", "n"))), lambda x: F.concat_ws("=", x["severity"], x["n"].cast("string"))), ",")
     return per.groupBy("code").agg(F.sum("n").alias("n"), listed.alias("severities"))
 
 

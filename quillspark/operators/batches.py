@@ -74,7 +74,7 @@ def worst_of(rows: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     """keys, worst: the n dimensions with most bad findings of rows(keys, dimension, bad), ties by name. A key has as many rows as there are dimensions."""
     sums = rows.groupBy(*keys, "dimension").agg(F.sum("bad").alias("bad")).where("bad > 0")
     ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("bad"), "dimension"))).where(F.col("r") <= n)
-    listed = F.array_sort(F.collect_list(F.struct("r", "dimension", "bad")))
+    listed = F.sort_array(F.collect_list(F.struct("r", "dimension", "bad")))
     return ranked.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["dimension"], x["bad"].cast("string"))), ",").alias("worst"))
 
 

@@ -228,7 +228,7 @@ def ordinals(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
 
 def chunks(files: DataFrame, most: int) -> DataFrame:
     """folder, file, chunk: files(folder, file, n) in order, a new chunk where the sum would pass most; a larger file is alone."""
-    ordered = F.array_sort(F.collect_list(F.struct("file", "n")))
+    ordered = F.sort_array(F.collect_list(F.struct("file", "n")))
     start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<file:string,chunk:bigint>>").alias("out"))
 
     def step(a, x):

@@ -27,7 +27,7 @@ def questions(dimensions: tuple[str, ...], wording: dict[str, str] | None = None
 def _listed(rows: DataFrame, order: list[Column], fields: list[str], name: str) -> DataFrame:
     """case_id, name: the rows of each case as an array of their fields, in order. A case's rows are bounded by its budget."""
     keyed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("x"))
-    return rows.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda r: r["x"]).alias(name))
+    return rows.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(keyed)), lambda r: r["x"]).alias(name))
 
 
 def built_requests(cases: DataFrame, fragments: DataFrame, denied: DataFrame, unresolved: DataFrame, omitted: DataFrame, asked: dict[str, dict], model: str) -> DataFrame:

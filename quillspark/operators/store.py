@@ -13,7 +13,7 @@ OBSERVATIONS = ("passed", "failed", "timed-out", "runner-error")
 
 def fixture_hash(files: Column) -> Column:
     """A hash of a fixture's files, an array of struct(path, contents), in order of their paths, each framed by nulls."""
-    framed = F.transform(F.array_sort(files), lambda f: F.concat(F.lit("path:"), f["path"], F.lit("\0"), f["contents"], F.lit("\0")))
+    framed = F.transform(F.sort_array(files), lambda f: F.concat(F.lit("path:"), f["path"], F.lit("\0"), f["contents"], F.lit("\0")))
     return F.sha2(F.array_join(framed, ""), 256)
 
 
@@ -34,7 +34,7 @@ def nested_cases(cases: DataFrame, observations: DataFrame, samples: DataFrame,
     # passed and timed-out have no detail, a runner error always has one
     detail = F.when(F.col("kind") == "failed", F.col("detail")).when(F.col("kind") == "runner-error", F.coalesce("detail", F.lit("")))
     seen = observations.select(*keys, F.struct("id", "label", F.when(known, F.col("kind")).alias("kind"), detail.alias("detail"), "content_hash", F.when(~known, F.col("kind")).alias("unknown_kind")).alias("o"))
-    seen = seen.groupBy(*keys).agg(F.array_sort(F.collect_list("o")).alias("observations"))
+    seen = seen.groupBy(*keys).agg(F.sort_array(F.collect_list("o")).alias("observations"))
     struct = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
     rows = cases.join(seen, keys, "left").join(struct(samples, "sample"), keys, "left").join(struct(failures, "failure"), keys, "left")
     none = F.array().cast(seen.schema["observations"].dataType)

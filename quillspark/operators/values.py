@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .stored import stored
 #: A key that scripts list before others, in order of its number.
 INDEX = r"^(?:0|[1-9]\d{0,9})$"
 LAST_INDEX = 4294967294
+#: Rows of a schema check: violations, and values that are still to be looked into.
+ROWS = "array<struct<path:string,problem:string,v:variant,node:int>>"
 
 
 def signed_zeros(text: Column) -> Column:
@@ -22,8 +25,9 @@ def signed_zeros(text: Column) -> Column:
     return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
 
 
-def _kind(value: Column) -> Column:
-    head = F.left(F.to_json(value), F.lit(1))
+def _kind(text: Column) -> Column:
+    """What a value is, by the first character of its JSON."""
+    head = F.left(text, F.lit(1))
     names = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
     return F.coalesce(*[F.when(head == k, v) for k, v in names.items()], F.lit("number"))
 
@@ -41,7 +45,7 @@ def _children(rows: DataFrame) -> DataFrame:
     some = rows.withColumn("x", F.explode(F.when(array, listed).otherwise(named)))
     # a place is the way from the root, each step of one width, so that it sorts as text
     step = F.concat(F.col("x.class").cast("string"), F.lpad(F.hex("x.at"), 9, "0"))
-    kind = _kind(F.col("x.v"))
+    kind = _kind(F.to_json("x.v"))
     text = F.when(kind == "string", F.expr("try_variant_get(x.v, '$', 'string')")).when(kind == "null", F.lit(None)).otherwise(F.col("x.s"))
     return some.select("id", F.concat("place", step).alias("place"), F.col("x.key").alias("key"), kind.alias("kind"), text.alias("text"))
 
@@ -81,7 +85,7 @@ def canonical_values(values: DataFrame) -> DataFrame:
     opening = token(F.col("place"), F.concat(key, own))
     closing = token(F.concat("place", F.lit("~")), F.when(F.col("kind") == "array", "]").otherwise(";"))
     tokens = nodes.join(sizes, ["id", "place"], "left").select("id", F.explode(F.when(F.col("kind").isin("array", "object"), F.array(opening, closing)).otherwise(F.array(opening))).alias("t"))
-    joined = tokens.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "").alias("encoding"))
+    joined = tokens.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["text"]), "").alias("encoding"))
     return values.select("id").join(joined, "id", "left").select("id", "encoding", F.sha2("encoding", 256).alias("hash"))
 
 
@@ -91,51 +95,83 @@ def canonical_segments(segments: Column) -> Column:
     return array(F.transform(segments, array))
 
 
-def _path(path: Column, key: str) -> Column:
-    return F.concat(path, F.lit(f".{key}"))
-
-
 def schema_violations(values: DataFrame, schema: dict) -> DataFrame:
     """values(id, json) -> id, path, problem: every violation, each with its path. schema knows type, enum, properties, required, additionalProperties false and items.
 
-    The schema is compiled: each of its nodes is a projection of the level above, and only values of the right type are
-    looked into. Rows are shuffled nowhere; values that hold others are written once. What isn't JSON is a violation of
-    its own."""
-    rows = values.select("id", F.lit("$").alias("path"), F.try_parse_json("json").alias("v"))
-    bad = rows.where("v IS NULL").select("id", "path", F.lit("not JSON").alias("problem"))
-    return _violations(rows.where("v IS NOT NULL"), schema, bad)
-
-
-def _violations(rows: DataFrame, schema: dict, found: DataFrame) -> DataFrame:
-    rows = rows.select("id", "path", _kind(F.col("v")).alias("kind"), F.to_json("v").alias("text"))
-    if "properties" in schema or "items" in schema:
-        # what others are projected from is read again, not made again for each of them
-        rows = stored(rows, "checked")
-    if "type" in schema:
-        types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        number = F.col("text").try_cast("double")
-        fits = lambda t: (F.col("kind") == "number") & (number == F.floor(number)) if t == "integer" else F.col("kind") == t
-        fit = fits(types[0])
-        for t in types[1:]:
-            fit = fit | fits(t)
-        found = found.unionByName(rows.where(~F.coalesce(fit, F.lit(False))).select("id", "path", F.concat(F.lit(f"expected type {' | '.join(types)}, got "), F.col("kind")).alias("problem")))
-        rows = rows.where(fit)
-    if "enum" in schema:
-        options = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]]
-        found = found.unionByName(rows.where(~F.col("text").isin(options)).select("id", "path", F.concat(F.lit("value "), F.col("text"), F.lit(f" is not one of [{','.join(options)}]")).alias("problem")))
-    if "properties" in schema:
-        objects = rows.where("kind = 'object'")
-        keys = F.json_object_keys("text")
-        for key in schema.get("required", []):
-            found = found.unionByName(objects.where(~F.array_contains(keys, key)).select("id", _path(F.col("path"), key).alias("path"), F.lit("required property is missing").alias("problem")))
-        if schema.get("additionalProperties") is False:
-            more = F.array_except(keys, F.array(*[F.lit(k) for k in schema["properties"]]).cast("array<string>"))
-            extra = objects.select("id", "path", F.explode(more).alias("key"))
-            found = found.unionByName(extra.select("id", F.concat("path", F.lit("."), "key").alias("path"), F.lit("unexpected property (additionalProperties is false)").alias("problem")))
-        for key, inner in schema["properties"].items():
-            member = F.element_at(F.from_json("text", "map<string,variant>"), key)
-            found = _violations(objects.where(F.array_contains(keys, key)).select("id", _path(F.col("path"), key).alias("path"), F.coalesce(member, F.expr("parse_json('null')")).alias("v")), inner, found)
-    if "items" in schema:
-        items = rows.where("kind = 'array'").select("id", "path", F.posexplode(F.from_json("text", "array<variant>")).alias("i", "v"))
-        found = _violations(items.select("id", F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), F.coalesce("v", F.expr("parse_json('null')")).alias("v")), schema["items"], found)
-    return found
+    The schema is compiled: a text is parsed once, and each level of items is one projection, whose rows are violations
+    and the elements that are still to be looked into. Members are taken out of the parsed value, and only values of the
+    right type are looked into. So all is one pass; nothing is shuffled or written. What isn't JSON is a violation of its own."""
+    rows = values.select("id", F.lit("$").alias("path"), F.lit(0).alias("node"), F.try_parse_json("json").alias("v"))
+    rows = rows.withColumn("problem", F.when(F.col("v").isNull(), "not JSON"))
+    nodes, first = [schema], 0
+    while first < len(nodes):
+        last, found = len(nodes), []
+        for n in range(first, last):
+            rows, own = _checked(rows, n, nodes)
+            found.append(F.when((F.col("node") == n) & F.col("problem").isNull(), own))
+        done = F.array(_row(F.col("path"), F.col("problem"), F.col("v"), F.col("node")))
+        rows = rows.select("id", F.explode(F.coalesce(*found, done)).alias("x")).where("x IS NOT NULL").select("id", "x.*")
+        first = last
+    return rows.select("id", "path", "problem")
+
+
+def _row(path: Column, problem: Column, value: Column | None = None, node: Column | None = None) -> Column:
+    value = F.lit(None).cast("variant") if value is None else value
+    return F.struct(path.alias("path"), problem.alias("problem"), value.alias("v"), (F.lit(-1) if node is None else node).alias("node"))
+
+
+def _checked(rows: DataFrame, n: int, nodes: list[dict]) -> tuple[DataFrame, Column]:
+    """rows with columns of what node n and the members in it hold, and an array of what is found: violations, nulls, and elements of node numbers that are added to nodes."""
+    live = (F.col("node") == n) & F.col("problem").isNull()
+    slots, lists = [], []
+    places = [("v", F.col("path"), nodes[n], live)]
+    while places:
+        depth = len(rows.columns)
+        text, kind = (lambda i, d=depth: F.col(f"text_{n}_{d}_{i}")), (lambda i, d=depth: F.col(f"kind_{n}_{d}_{i}"))
+        rows = rows.withColumns({f"text_{n}_{depth}_{i}": F.when(p[3], F.to_json(p[0])) for i, p in enumerate(places)})
+        rows = rows.withColumns({f"kind_{n}_{depth}_{i}": F.when(text(i).isNotNull(), _kind(text(i))) for i in range(len(places))})
+        members, deeper = {}, []
+        for i, (value, path, schema, there) in enumerate(places):
+            fit = there
+            if "type" in schema:
+                types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+                number = text(i).try_cast("double")
+                fits = [(kind(i) == "number") & (number == F.floor(number)) if t == "integer" else kind(i) == t for t in types]
+                fit = F.coalesce(reduce(lambda a, b: a | b, fits), F.lit(False))
+                slots.append(F.when(there & ~fit, _row(path, F.concat(F.lit(f"expected type {' | '.join(types)}, got "), kind(i)))))
+                fit = there & fit
+            if "enum" in schema:
+                options = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in schema["enum"]]
+                slots.append(F.when(fit & ~text(i).isin(options), _row(path, F.concat(F.lit("value "), text(i), F.lit(f" is not one of [{','.join(options)}]")))))
+            if "properties" in schema:
+                inside = fit & (kind(i) == "object")
+                names = {}
+                for key, inner in schema["properties"].items():
+                    names[key] = f"member_{n}_{depth}_{len(members)}"
+                    members[names[key]] = F.when(inside, _member(F.col(value), key))
+                    deeper.append((names[key], F.concat(path, F.lit(f".{key}")), inner, F.col(names[key]).isNotNull()))
+                for key in schema.get("required", []):
+                    absent = F.col(names[key]).isNull() if key in names else ~F.array_contains(F.json_object_keys(text(i)), key)
+                    slots.append(F.when(inside & absent, _row(F.concat(path, F.lit(f".{key}")), F.lit("required property is missing"))))
+                if schema.get("additionalProperties") is False:
+                    more = F.array_except(F.json_object_keys(text(i)), F.array(*[F.lit(k) for k in schema["properties"]]).cast("array<string>"))
+                    lists.append((inside, F.transform(more, lambda k: _row(F.concat(path, F.lit("."), k), F.lit("unexpected property (additionalProperties is false)")))))
+            if "items" in schema:
+                node = len(nodes)
+                nodes.append(schema["items"])
+                element = lambda v, at: _row(F.concat(path, F.lit("["), at.cast("string"), F.lit("]")), F.lit(None).cast("string"), F.coalesce(v, F.expr("parse_json('null')")), F.lit(node))
+                lists.append((fit & (kind(i) == "array"), F.transform(F.try_variant_get(value, "$", "array<variant>"), element)))
+        if members:
+            rows = rows.withColumns(members)
+        places = deeper
+    none = F.array().cast(ROWS)
+    return rows, F.concat(F.array(*slots).cast(ROWS), *[F.when(where, some).otherwise(none) for where, some in lists])
+
+
+def _member(value: Column, key: str) -> Column:
+    """A member of a parsed object, or null if there is none; a path can't name a key with both kinds of quotes, which is looked up."""
+    quote = next((q for q in "'\"" if q not in key), None)
+    if quote is None:
+        held = F.try_variant_get(value, "$", "map<string,variant>")
+        return F.when(F.map_contains_key(held, key), F.coalesce(F.element_at(held, key), F.expr("parse_json('null')")))
+    return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")

@@ -62,7 +62,7 @@ def requests_within(log: DataFrame, seconds: int) -> DataFrame:
 
 def throttle_limits(signals: DataFrame, ceiling: int = 8, restore: int = 5) -> DataFrame:
     """key, limit, streak: the concurrency that a key's signals, in order, lead to. signals(key, ord, signal): throttled halves the limit, restore clean ones in a row below the ceiling add one."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "signal"))), lambda x: x["signal"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "signal"))), lambda x: x["signal"])
     state = lambda limit, streak: F.struct(limit.cast("int").alias("limit"), streak.cast("int").alias("streak"))
     zero = F.lit(0)
 

@@ -73,6 +73,6 @@ _EACH = " UNION ALL ".join(
 {_TOP} UNION ALL {_EACH} UNION ALL SELECT o_orderkey, '$', 'not JSON' FROM orders WHERE NOT {_WHERE}""")
 def schema_violations(spark, sf_dir):
     lines = b.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber, l_partkey, l_suppkey) AS at", f"{_DIMENSION} AS item")
-    items = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), ",").alias("items"))
+    items = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), ",").alias("items"))
     reports = b.table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").selectExpr("o_orderkey AS id", f"{_BODY} AS json")
     return values.schema_violations(reports, REPORT)

@@ -128,7 +128,7 @@ def truncated_texts(spark, sf_dir):
 
 @registered("SELECT brand, array_to_string(CASE WHEN len(names) > 20 THEN list_append(names[:20], (len(names) - 20) || ' more') ELSE names END, ',') AS names FROM (SELECT p_brand AS brand, list(p_name ORDER BY p_name, p_partkey) AS names FROM part GROUP BY 1) p")
 def capped_names(spark, sf_dir):
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("p_name", "p_partkey"))), lambda x: x["p_name"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("p_name", "p_partkey"))), lambda x: x["p_name"])
     rows = b.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(listed.alias("names"))
     return rows.select("brand", F.array_join(capped_list(F.col("names")), ",").alias("names"))
 
