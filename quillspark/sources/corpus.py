@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import stored
+
 # The fields of a manifest, and what some of them may say.
 FIELDS = ("id", "operators", "operatorRole", "oracleKind", "testEffect", "productionEffect", "expectedOutcome", "testFile", "productionFiles")
 OPERATORS = ("remove-assertion", "weaken-expectation", "add-shared-state", "mock-owned-logic", "pin-implementation-detail", "introduce-uncontrolled-time", "assert-incidental-interaction", "obscure-failure-cause")
@@ -35,15 +37,18 @@ def _strings(field: str) -> Column:
 
 
 def manifests(files: DataFrame) -> DataFrame:
-    """folder, problem and the fields of every case.json of files(path, source): problem is the first that holds, null for a sound manifest."""
+    """folder, problem and the fields of every case.json of files(path, source): problem is the first that holds, null for a sound manifest.
+
+    Texts are dealt to tasks however few files they come from. The fields are written, so that the rules read them as columns; inlined in a rule, they would be parsed anew for each."""
     text = F.to_json(F.col("v"))
     read = files.where(F.regexp_like("path", F.lit(f"(^|/){MANIFEST.replace('.', '[.]')}$")))
-    read = read.select(F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.try_parse_json("source").alias("v"))
+    read = read.select(F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), "source").repartition("folder").select("folder", F.try_parse_json("source").alias("v"))
     known = F.array(*[F.lit(x) for x in FIELDS])
     parsed = read.select(
         "folder", F.col("v").isNotNull().alias("json"), text.startswith("{").alias("object"), F.array_sort(F.array_except(F.json_object_keys(text), known)).alias("unknown"),
         *[_string(f).alias(f) for f in FIELDS if f not in ("operators", "productionFiles")], *[_strings(f).alias(f) for f in ("operators", "productionFiles")],
     )
+    parsed = stored(parsed, "manifests")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     full = lambda f: no(F.trim(F.col(f)) != "")
     among = lambda f, xs: no(F.col(f).isin(*xs))
@@ -60,7 +65,7 @@ def manifests(files: DataFrame) -> DataFrame:
 
 def corpus_cases(files: DataFrame) -> DataFrame:
     """folder, id, operator, files, problem of every case: how many files its manifest names, and what is wrong with the manifest, else missing:<the first file that its folder lacks>. Of cases with one id all but the first folder's are repeated."""
-    known = manifests(files)
+    known = stored(manifests(files), "cases")
     named = known.where("problem IS NULL").select("folder", F.posexplode(F.array_distinct(F.concat(F.array("testFile"), "productionFiles"))).alias("at", "file"))
     there = files.select("path", F.lit(True).alias("there"))
     path = F.when(F.col("folder") == "", F.col("file")).otherwise(F.concat_ws("/", "folder", "file"))
