@@ -215,6 +215,26 @@ def test_lines_alike_beside_others_of_their_key(spark):
     assert out[1] == df.first().text and out[2] == ""
 
 
+def test_lines_distances_and_counts(spark):
+    from pyspark.sql import functions as F
+
+    # counts rule pairs out before a distance is taken, and never one that is within the bound
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    data = []
+    for n in (8, 40, 130, 400):
+        for cut in (0, 1, n // 10, n // 6, n // 5, n // 3):
+            a = [word() for _ in range(n)]
+            b = [x for i, x in enumerate(a) if i % max(n // max(cut, 1), 1) or not cut]
+            data += [(" ".join(a), " ".join(b)), (" ".join(a), " ".join(r.sample(a, n))), (" ".join(a), " ".join([f"é{x}" if i < cut else x for i, x in enumerate(a)]))]
+    d = spark.createDataFrame(data, "x string, y string")
+    most = lines.most_edits(F.greatest(F.length("x"), F.length("y")))
+    d = d.select("x", "y", lines.alike("x", "y").alias("alike"), (F.levenshtein("x", "y") <= most).alias("want"), lines.counts("x").alias("cx"), lines.counts("y").alias("cy"))
+    out = d.select("alike", "want", lines.counts_allow("cx", "cy", most).alias("may")).collect()
+    assert all(x.alike == x.want and (x.may or not x.want) for x in out) and any(x.want for x in out)
+    assert any(not x.may for x in out) and any(x.may and not x.want for x in out)
+
+
 def test_lines_without_spaces(spark):
     r = random.Random(9)
     han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40))
