@@ -10,6 +10,8 @@ from .stored import stored
 # Paths that are never read as evidence.
 DENIED = (".env*", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa*", "**/secrets/**", "**/.git/**", "**/node_modules/**", "**/dist/**", "**/build/**", "**/coverage/**", "**/vendor/**", "*.min.js", "*.map", "*.d.ts")
 BYTES_MOST, BYTES_LEAST, USD = 4.8, 3.0, 0.042
+#: Keys that the specifiers of one beginning are dealt to.
+PARTS = 16
 
 
 def glob_pattern(glob: str, whole: bool = False) -> str:
@@ -169,14 +171,20 @@ def probed(asked: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def alias_matches(specifiers: DataFrame, patterns: DataFrame) -> DataFrame:
-    """specifier, pattern: the best pattern of each. patterns(pattern, source, ord) have at most one *; an exact one comes before the longest prefix, then by order. A specifier meets patterns by each of its beginnings, so this is a join on equal texts, whatever the number of patterns."""
+    """specifier, pattern: the best pattern of each. patterns(pattern, source, ord) have at most one *; an exact one comes before the longest prefix, then by order. A specifier meets patterns by its beginnings, so this is a join on equal texts, whatever the number of patterns.
+
+    Only beginnings as long as some pattern's are made. All specifiers have the shortest ones, so these are dealt to PARTS keys, each with the patterns; the patterns of a key are looked up, so specifiers aren't sorted."""
     star = F.locate("*", F.col("pattern"))
     prefix, suffix = F.when(star > 0, F.expr("left(pattern, locate('*', pattern) - 1)")).otherwise(F.col("pattern")), F.when(star > 0, F.expr("substring(pattern, locate('*', pattern) + 1)")).otherwise(F.lit(""))
     usable = patterns.where(F.length("pattern") - F.length(F.translate("pattern", "*", "")) < 2).withColumns({"prefix": prefix, "suffix": suffix, "exact": star == 0})
     hit = F.when(F.col("exact"), F.col("specifier") == F.col("pattern")).otherwise(F.col("specifier").startswith(F.col("prefix")) & F.col("specifier").endswith(F.col("suffix")) & (F.length("specifier") >= F.length("prefix") + F.length("suffix")))
     best = F.min(F.struct("source", (~F.col("exact")).alias("loose"), (-F.length("prefix")).alias("shorter"), "ord", "pattern")).alias("r")
-    begun = specifiers.distinct().select("specifier", F.explode(F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda n: F.left("specifier", n))).alias("prefix"))
-    return begun.join(usable, "prefix").where(hit).groupBy("specifier").agg(best).select("specifier", "r.pattern")
+    # as many rows as the longest pattern has characters, at most
+    lengths = usable.select(F.length("prefix").alias("n")).distinct()
+    part = F.pmod(F.xxhash64("specifier"), F.lit(PARTS))
+    begun = specifiers.distinct().select("specifier", F.explode(F.sequence(F.lit(0), F.length("specifier"))).alias("n")).join(F.broadcast(lengths), "n").select("specifier", F.expr("left(specifier, n)").alias("prefix"), part.alias("part"))
+    dealt = usable.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return begun.join(dealt.hint("shuffle_hash"), ["prefix", "part"]).where(hit).groupBy("specifier").agg(best).select("specifier", "r.pattern")
 
 
 def token_estimate(rows: DataFrame, ceiling: int, follow_ups: int = 1) -> DataFrame:

@@ -390,3 +390,16 @@ def test_manifests_are_parsed_once(spark):
     df = corpus.corpus_cases(spark.createDataFrame(files, "path string, source string"))
     assert "variant" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(tuple(r) for r in df.collect()) == [("", "a", "remove-assertion", 0, "oracleKind"), ("x", "a", "remove-assertion", 2, None), ("y", "a", "remove-assertion", 1, "repeated-id")]
+
+
+def test_alias_matches_deal_what_many_specifiers_begin_with(spark):
+    made = [f"@/a{i}.css" for i in range(40)] + ["@/exact", "b", "", None]
+    patterns = [("*", 2, 0), ("@/*", 1, 1), ("@/*.css", 1, 2), ("@/a1*.css", 1, 3), ("@/exact", 1, 4), ("@/*/*", 0, 5), ("long/pattern/*", 0, 6)]
+    asked = spark.createDataFrame([(x,) for x in made], "specifier string")
+    found = evidence.alias_matches(asked, spark.createDataFrame(patterns, "pattern string, source int, ord int"))
+    want = {x: "@/a1*.css" if x.startswith("@/a1") else "@/*" if x.startswith("@/a") else {"@/exact": "@/exact"}.get(x, "*") for x in made if x is not None}
+    assert {r.specifier: r.pattern for r in found.collect()} == want
+    # nothing is sorted by a beginning that all specifiers have
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [prefix" in plan and "SortMergeJoin" not in plan
+    assert not evidence.alias_matches(asked, spark.createDataFrame([], "pattern string, source int, ord int")).count()
