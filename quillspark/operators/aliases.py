@@ -17,7 +17,9 @@ from .stored import stored
 CONFIGS = ("tsconfig.json", "jsconfig.json")
 CONDITIONS = ("default", "import", "node")
 MAX_DEPTH = 64
-#: Tasks that what is asked of a high folder is dealt to.
+#: Levels of conditions that are looked into before what is deeper is written.
+LEVELS = 8
+#: Tasks that what is asked of a high folder is dealt to, and package files.
 PARTS = 64
 REFUSALS = "root string, reason string, declared_in string, detail string"
 
@@ -138,39 +140,45 @@ def path_entries(roots: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataF
 
 
 def conditional_targets(values: DataFrame) -> DataFrame:
-    """values(id, v) -> id, kind, target: what a conditional export comes to. The first condition in order that leads to a string or to null counts, however deep; kind is target, blocked (null) or unsupported."""
-    rows = values.select("id", F.array().cast("array<int>").alias("place"), F.to_json("v").alias("text"))
-    leaf, level = None, stored(rows, "conditions")
+    """values(..., v) -> the other columns, kind, target: what a conditional export comes to. The first condition in order that leads to a string or to null counts, however deep; kind is target, blocked (null) or unsupported.
+
+    A value is a list in which objects are replaced by what their conditions hold, in order, and what can't be a target goes; so it is its first one that counts, as soon as that is no object. LEVELS levels are looked into in a row; only values that are deeper are written for a further round."""
+    null, none = F.expr("parse_json('null')"), F.array().cast("array<variant>")
+    head = lambda x: F.left(F.to_json(x), F.lit(1))
+    held = lambda m: F.filter(F.array(*[F.when(F.map_contains_key(m, c), F.coalesce(F.element_at(m, c), null)) for c in CONDITIONS]), lambda x: head(x).isin("{", '"', "n"))
+    members = lambda x: F.flatten(F.transform(F.array(F.try_variant_get(x, "$", "map<string,variant>")), held))
+    inner = lambda x: F.when(head(x) == "{", members(x)).when(head(x).isin('"', "n"), F.array(x)).otherwise(none)
+    deep = lambda xs: F.coalesce(head(F.get(xs, F.lit(0))) == "{", F.lit(False))
+    step = lambda xs, _: F.when(deep(xs), F.flatten(F.transform(xs, inner))).otherwise(xs)
+    keep = [c for c in values.columns if c != "v"]
+    rows, done = values.select(*keep, inner(F.col("v")).alias("_xs")), None
     while True:
-        done = level.where(F.col("text").startswith('"') | (F.col("text") == "null"))
-        leaf = done if leaf is None else leaf.unionByName(done)
-        member = lambda c: F.element_at(F.from_json("text", "map<string,variant>"), c)
-        present = lambda c: F.array_contains(F.json_object_keys("text"), c)
-        named = F.array(*[F.when(present(c), F.struct(F.lit(i).alias("i"), F.coalesce(F.to_json(member(c)), F.lit("null")).alias("text"))) for i, c in enumerate(CONDITIONS)])
-        inner = level.where(F.col("text").startswith("{")).select("id", "place", F.explode(F.filter(named, lambda x: x.isNotNull())).alias("x"))
-        level = stored(inner.select("id", F.array_append("place", F.col("x.i")).alias("place"), "x.text"), "conditions")
-        if not level.limit(1).count():
+        rows = stored(rows.withColumn("_xs", F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.col("_xs"), step)).withColumn("_deep", deep(F.col("_xs"))), "conditions")
+        some = rows.where("NOT _deep")
+        done = some if done is None else done.unionByName(some)
+        rows = rows.where("_deep").drop("_deep")
+        if not rows.limit(1).count():
             break
-    best = leaf.groupBy("id").agg(F.min(F.struct("place", "text")).alias("x")).select("id", "x.text")
-    kind = F.when(F.col("text").isNull(), "unsupported").when(F.col("text") == "null", "blocked").otherwise("target")
-    return values.select("id").join(best, "id", "left").select("id", kind.alias("kind"), F.expr("try_variant_get(try_parse_json(text), '$', 'string')").alias("target"))
+    first = F.get("_xs", F.lit(0))
+    kind = F.when(first.isNull(), "unsupported").when(head(first) == "n", "blocked").otherwise("target")
+    return done.select(*keep, kind.alias("kind"), F.try_variant_get(first, "$", "string").alias("target"))
 
 
 def import_entries(packages: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """packages(root), paths of package.json files -> entries of their imports that begin with #, and refusals."""
-    read = packages.join(configs.withColumnRenamed("path", "root"), "root").select("root", F.try_parse_json(without_json_comments(F.col("text"))).alias("v"))
-    bad = read.where("v IS NULL").select("root", F.lit("config-malformed").alias("reason"), F.col("root").alias("declared_in"), F.lit("").alias("detail"))
-    members = F.map_entries(F.from_json(F.to_json(F.try_variant_get("v", "$.imports", "variant")), "map<string,variant>"))
-    each = read.select("root", F.explode(members).alias("e")).select("root", F.col("e.key").alias("pattern"), F.coalesce("e.value", F.expr("parse_json('null')")).alias("v")).where(F.col("pattern").startswith("#"))
-    each = stored(each.withColumn("id", F.to_json(F.struct("root", "pattern"))), "imports")
-    known = each.select("id", "root", "pattern").join(conditional_targets(each.select("id", "v")), "id")
-    known = known.withColumn("to", contained(folder(F.col("root")), F.col("target")))
-    reason = F.when(F.col("kind") == "unsupported", "imports-unsupported-conditions").when(~F.col("target").startswith("./"), "imports-external-target").when(F.col("to").isNull(), "target-outside-root")
-    known = stored(known.where("kind <> 'blocked'").withColumn("reason", reason), "imports")
+    # dealt to tasks, as few bytes of a table may stand for many texts
+    read = packages.join(configs.withColumnRenamed("path", "root"), "root").repartition(PARTS, "root").select("root", F.try_parse_json(without_json_comments(F.col("text"))).alias("v"))
+    # a text that is none is a row without a pattern, so texts are read once
+    bad = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.expr("parse_json('null')").alias("value")))
+    members = F.filter(F.map_entries(F.try_variant_get("v", "$.imports", "map<string,variant>")), lambda e: e["key"].startswith("#"))
+    each = read.select("root", F.explode(F.when(F.col("v").isNull(), bad).otherwise(members)).alias("e")).select("root", F.col("e.key").alias("pattern"), F.coalesce("e.value", F.expr("parse_json('null')")).alias("v"))
+    known = conditional_targets(each).withColumn("to", contained(folder(F.col("root")), F.col("target")))
+    reason = F.when(F.col("pattern").isNull(), "config-malformed").when(F.col("kind") == "unsupported", "imports-unsupported-conditions").when(~F.col("target").startswith("./"), "imports-external-target").when(F.col("to").isNull(), "target-outside-root")
+    known = known.where("kind <> 'blocked' OR pattern IS NULL").withColumn("reason", reason)
     entries = known.where("reason IS NULL").select("root", F.lit("imports").alias("source"), "pattern", F.array("to").alias("targets"), F.col("root").alias("declared_in"))
-    detail = F.when(F.col("reason") == "target-outside-root", F.col("target")).otherwise(F.col("pattern"))
+    detail = F.when(F.col("reason") == "target-outside-root", F.col("target")).otherwise(F.coalesce("pattern", F.lit("")))
     refused = known.where("reason IS NOT NULL").select("root", "reason", F.col("root").alias("declared_in"), detail.alias("detail"))
-    return entries, bad.unionByName(refused)
+    return entries, refused
 
 
 def _glob(pattern: Column) -> Column:
@@ -187,18 +195,19 @@ def _glob(pattern: Column) -> Column:
 
 
 def workspace_entries(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of the packages that the root's package.json names as workspaces: a package's name stands for its entry file, if it says one, and its folder; what is below the name for what is below the folder. The patterns of the one root file go with each package as an array, so no package is joined with all of them."""
-    read = configs.where(F.col("path").endswith("package.json")).select("path", folder(F.col("path")).alias("folder"), F.try_parse_json(without_json_comments(F.col("text"))).alias("v"))
+    """Entries of the packages that the root's package.json names as workspaces: a package's name stands for its entry file, if it says one, and its folder; what is below the name for what is below the folder. The patterns of the one root file go with each package as one text, so no package is joined with all of them."""
+    read = configs.where(F.col("path").endswith("package.json")).repartition(PARTS, "path").select("path", folder(F.col("path")).alias("folder"), F.try_parse_json(without_json_comments(F.col("text"))).alias("v"))
     get = lambda p: F.to_json(F.try_variant_get("v", p, "variant"))
     listed = F.coalesce(F.when(get("$.workspaces").startswith("["), get("$.workspaces")), F.when(get("$.workspaces.packages").startswith("["), get("$.workspaces.packages")))
-    patterns = read.where("path = 'package.json'").agg(F.max(F.transform(_strings(listed), _glob)).alias("globs"))
+    # as one text the patterns are compiled once, and not for each package
+    globs = F.transform(_strings(listed), _glob)
+    patterns = read.where("path = 'package.json'").agg(F.max(F.when(F.size(globs) > 0, globs)).alias("globs")).select(F.array_join("globs", "|").alias("globs"))
     inside = read.where("path <> 'package.json'").where(~F.array_contains(F.split("folder", "/"), "node_modules"))
-    found = stored(inside.join(patterns, how="cross").where(F.exists("globs", lambda g: F.regexp_like(F.col("folder"), g))).drop("globs"), "packages")
+    found = stored(inside.join(patterns, how="cross").where(F.regexp_like("folder", "globs")).drop("globs"), "packages")
     refused = found.where("v IS NULL").select(F.lit("package.json").alias("root"), F.lit("config-malformed").alias("reason"), F.col("path").alias("declared_in"), F.lit("").alias("detail"))
     text = lambda p: F.when(get(p).startswith('"'), F.try_variant_get("v", p, "string"))
     dot = F.element_at(F.from_json(get("$.exports"), "map<string,variant>"), ".")
     named = found.select("path", "folder", text("$.name").alias("name"), text("$.exports").alias("exports"), text("$.main").alias("main"), dot.alias("dot")).where("name IS NOT NULL")
-    inner = conditional_targets(named.where("dot IS NOT NULL").select(F.col("path").alias("id"), F.col("dot").alias("v"))).select(F.col("id").alias("path"), F.col("target").alias("inner"))
-    whole = named.join(inner, "path", "left").withColumn("entry", contained(F.col("folder"), F.coalesce("exports", "inner", "main")))
+    whole = conditional_targets(named.withColumnRenamed("dot", "v")).withColumn("entry", contained(F.col("folder"), F.coalesce("exports", "target", "main")))
     pair = F.array(F.struct(F.col("name").alias("pattern"), F.array_compact(F.array("entry", "folder")).alias("targets")), F.struct(F.concat("name", F.lit("/*")).alias("pattern"), F.array(F.concat("folder", F.lit("/*"))).alias("targets")))
     return whole.select(F.explode(pair).alias("e"), "path").select(F.lit("package.json").alias("root"), F.lit("workspace").alias("source"), "e.pattern", "e.targets", F.col("path").alias("declared_in")), refused

@@ -403,3 +403,21 @@ def test_alias_matches_deal_what_many_specifiers_begin_with(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin [prefix" in plan and "SortMergeJoin" not in plan
     assert not evidence.alias_matches(asked, spark.createDataFrame([], "pattern string, source int, ord int")).count()
+
+
+def test_conditional_targets_deeper_than_a_round(spark):
+    deep = '"./deep"'
+    for i in range(2 * aliases.LEVELS + 3):
+        deep = f'{{"{("node", "import", "default")[i % 3]}": {deep}}}'
+    made = {"s": '"./s"', "o": '{"node": "./n", "default": {"browser": "./b", "import": [1]}}', "f": '{"import": "./i", "default": {"node": {"x": 1}, "import": null}}', "n": "null", "u": '{"browser": "./b"}', "7": "7", "e": "{}", "d": deep}
+    rows = spark.createDataFrame([(k, 1, v) for k, v in made.items()], "id string, more int, json string")
+    found = aliases.conditional_targets(rows.select("id", "more", F.parse_json("json").alias("v")))
+    want = {"s": ("target", "./s"), "o": ("target", "./n"), "f": ("blocked", None), "n": ("blocked", None), "u": ("unsupported", None), "7": ("unsupported", None), "e": ("unsupported", None), "d": ("target", "./deep")}
+    assert {r.id: (r.kind, r.target) for r in found.collect()} == want and found.columns == ["id", "more", "kind", "target"]
+    # values aren't grouped or joined
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    # a folder is matched by any pattern, and by none where there are none
+    for patterns, names in (('["a/*", "b"]', {"@a", "@a/*", "@b", "@b/*"}), ("[]", set()), ("7", set())):
+        configs = spark.createDataFrame([("package.json", f'{{"workspaces": {patterns}}}'), ("a/x/package.json", '{"name": "@a"}'), ("b/package.json", '{"name": "@b"}'), ("c/package.json", '{"name": "@c"}')], "path string, text string")
+        assert {r.pattern for r in aliases.workspace_entries(configs)[0].collect()} == names
