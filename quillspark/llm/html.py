@@ -1,17 +1,18 @@
 """Operator 10: HTML extraction by nearest-URL page differencing.
 
 Each page is parsed once into text lines (blocks). Lines inside navigation, header, footer, aside, form and the like,
-or in a block whose class, id or role names such a thing, belong to the frame. Where the markup names the content, by
-an article or main element, its lines are the text. A class of a wrapper around an article judges the wrapper's own
-lines; an article in a framed block counts only on pages that have no other.
+or in a block whose class, id or role names such a thing, belong to the frame.
 
-Pages whose markup names no content are differenced: each is paired with the pages of the nearest other paths of its
-host, before and after it in path order, whatever tasks and batches they are in. Spark places one page of each path in
-that order, with hashes of its lines. The longest common subsequence of two line lists shows the template, and shared
-lines are deleted. A pair that shares most of the open text is a copy and deletes nothing.
+Every page is differenced: it is paired with the pages of the nearest other paths of its host, before and after it in
+path order, whatever tasks and batches they are in. Spark places one page of each path in that order, with hashes of
+its lines. The longest common subsequence of two line lists shows the template. A pair that shares most of a page's
+text is a copy and shows nothing.
 
-Differencing alone can't give right results, for two reasons that the pages show: menus, adverts and footers may have
-other words on each page, and articles of one host repeat sentences. The README has figures.
+A check by the markup follows, as menus, adverts and footers may have other words on each page, and articles of one
+host repeat sentences; the README has figures. Where an article or main element names the content, its lines are the
+text, shared or not, unless all of them are template and open lines are left that are not: then these are the text.
+Without such an element the text is what is left of the open lines. A class of a wrapper around an article judges the
+wrapper's own lines; an article in a framed block counts only on pages that have no other.
 
 Defined cases: null or empty html has an empty text; a page without a pair is judged by its markup alone, so are
 pages with a null url; of pages of one path the one with the least page_id and html stands for it; unclosed elements
@@ -259,46 +260,67 @@ def common(a: list, b: list) -> set[int]:
     return found
 
 
+def kind_of(kinds: list[int]) -> int:
+    """The kind of the lines that are the text: of content where the markup names it, in framed wrappers only if there is no other, else open ones."""
+    return next((k for k in (CONTENT_LINE, WRAPPED) if k in kinds), OPEN)
+
+
 def content_of(page: list[tuple[str, int]]) -> str | None:
-    """The text where the markup names it: lines of content, those in framed wrappers only if there are no others."""
-    for kind in (CONTENT_LINE, WRAPPED):
-        if found := [x for x, k in page if k == kind]:
-            return " ".join(found)
-    return None
+    """The text where the markup names it."""
+    kind = kind_of([k for _, k in page])
+    return None if kind == OPEN else " ".join(x for x, k in page if k == kind)
 
 
-def differenced(texts: list[str], kinds: list[int], hashes: list[int], pairs: list[list[int]]) -> str:
-    """The open lines that are left of a page beside the line hashes of its pairs."""
-    open_lines = [i for i, k in enumerate(kinds) if k == OPEN]
-    whole, shared = sum(len(texts[i]) for i in open_lines), set()
+def template(kind: int, kinds: list[int], sizes: list[int], hashes: list[int], pairs: list[list[int]]) -> set[int]:
+    """The places of the lines that a page shares with those of its pairs that aren't copies."""
+    inside = [i for i, k in enumerate(kinds) if k in (kind, OPEN)]
+    whole, shared = sum(sizes[i] for i in inside), set()
     for other in pairs:
         found = common(hashes, other)
-        if 2 * sum(len(texts[i]) for i in open_lines if i in found) <= whole:
+        if 2 * sum(sizes[i] for i in inside if i in found) <= whole:
             shared |= found
-    return " ".join(texts[i] for i in open_lines if i not in shared)
+    return shared
+
+
+def left_open(kind: int, kinds: list[int], sizes: list[int], hashes: list[int], pairs: list[list[int]]) -> list[int] | None:
+    """The places of the open lines that differencing leaves, if these are the text: where the markup names no content, or names template alone. None where all lines of the kind stay."""
+    shared = template(kind, kinds, sizes, hashes, pairs)
+    left = [i for i, k in enumerate(kinds) if k == OPEN and i not in shared]
+    alone = all(i in shared for i, k in enumerate(kinds) if k == kind)
+    return left if kind == OPEN or (left and alone) else None
+
+
+def differenced(texts: list[str], kinds: list[int], hashes: list[int], pairs: list[list[int]]) -> str:
+    """The text of a page beside the line hashes of its pairs."""
+    kind = kind_of(kinds)
+    left = left_open(kind, kinds, [len(x) for x in texts], hashes, pairs)
+    return " ".join(x for i, (x, k) in enumerate(zip(texts, kinds)) if (k == kind if left is None else i in left))
 
 
 def _parsed(batches):
     import pyarrow as pa
 
     for batch in batches:
-        out: list[list] = [[], [], []]
-        for x in batch.column("html"):
-            page = lines(x.as_py() or "")
-            text = content_of(page)
-            for col, v in zip(out, (text, [x for x, _ in page], [k for _, k in page])):
-                col.append(v)
-        types = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "path")), *(pa.array(c, t) for c, t in zip(out, types))], ["page_id", "url", "host", "path", "text", "lines", "kinds"])
+        pages = [lines(x.as_py() or "") for x in batch.column("html")]
+        kinds = [[k for _, k in page] for page in pages]
+        out = ([[x for x, _ in page] for page in pages], kinds, [kind_of(x) for x in kinds])
+        types = (pa.list_(pa.string()), pa.list_(pa.int8()), pa.int8())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "path")), *(pa.array(c, t) for c, t in zip(out, types))], ["page_id", "url", "host", "path", "lines", "kinds", "kind"])
 
 
 def _differenced(batches):
     import pyarrow as pa
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("lines", "kinds", "hashes", "before", "after"))
-        out = [differenced(t, k, h, [x for x in (a, b) if x]) for t, k, h, a, b in zip(*columns)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+        out: list[list] = [[], []]
+        columns = (batch.column(c).to_pylist() for c in ("id", "kind", "kinds", "sizes", "hashes", "before", "after"))
+        for id, kind, kinds, sizes, hashes, before, after in zip(*columns):
+            left = left_open(kind, kinds, sizes, hashes, [x for x in (before, after) if x])
+            # where all open lines are left, there is nothing to tell
+            if left is not None and (kind != OPEN or len(left) < kinds.count(OPEN)):
+                out[0].append(id)
+                out[1].append(left)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32()))], ["id", "left"])
 
 
 def neighbours(reps: DataFrame) -> DataFrame:
@@ -321,19 +343,20 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     bare = F.regexp_replace(F.lower("url"), r"^[a-z][a-z0-9+.-]*://|[?#].*$", "")
     keyed = pages.select("page_id", "url", "html", F.regexp_extract(bare, "^[^/]*", 0).alias("host"), F.regexp_replace(bare, r"^[^/]*|(\.html?)?/?$", "").alias("path"))
-    parsed = keyed.mapInArrow(_parsed, "page_id long, url string, host string, path string, text string, lines array<string>, kinds array<tinyint>")
-    # the text of a page that isn't differenced is there; of its lines only hashes may be wanted, by its neighbours
-    open_ = {c: F.when(F.col("text").isNull(), F.col(c)) for c in ("lines", "kinds")}
-    all_pages = Written(parsed.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).withColumns(open_), "pages", "zstd").df
-    named = all_pages.where("text IS NOT NULL").select("page_id", "url", "text")
-    rest = all_pages.where("text IS NULL")
-    # only hosts with pages that are differenced need their paths in order
-    wanted = rest.where("host IS NOT NULL").select("host").distinct()
-    known = all_pages.where("host IS NOT NULL").select("host", "path", "page_id", "hashes").join(wanted, "host", "left_semi")
+    parsed = keyed.mapInArrow(_parsed, "page_id long, url string, host string, path string, lines array<string>, kinds array<tinyint>, kind tinyint")
+    # of all lines hashes are kept, and the words of those that may be text
+    shown = F.zip_with("lines", "kinds", lambda x, k: F.when((k == F.col("kind")) | (k == OPEN), x).otherwise(""))
+    held = parsed.select(F.monotonically_increasing_id().alias("id"), "page_id", "url", "host", "path", "kind", "kinds", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), shown.alias("lines"))
+    all_pages = Written(held, "pages", "zstd").df
+    known = all_pages.where("host IS NOT NULL")
     reps = known.groupBy("host", "path").agg(F.min(F.struct("page_id", "hashes")).alias("x")).select("host", "path", "x.hashes")
-    paired = rest.join(neighbours(reps), ["host", "path"], "left").select("page_id", "url", "lines", "kinds", "hashes", "before", "after")
-    both = named.unionByName(paired.mapInArrow(_differenced, "page_id long, url string, text string"))
-    return both.withColumn("n_chars", F.length("text").cast("long"))
+    # pages are differenced by hashes, and only the places of what is left are joined to their words
+    small = known.select("id", "host", "path", "kind", "kinds", F.transform("lines", F.length).alias("sizes"), "hashes")
+    paired = small.join(neighbours(reps), ["host", "path"]).drop("host", "path")
+    left = Written(paired.mapInArrow(_differenced, "id long, left array<int>"), "page-left").df
+    of_kind = F.filter(F.arrays_zip("lines", "kinds"), lambda x: x["kinds"] == F.col("kind"))
+    text = F.when(F.col("left").isNull(), F.array_join(F.transform(of_kind, lambda x: x["lines"]), " ")).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), " "))
+    return all_pages.join(left, "id", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,6 +325,19 @@ def test_html_pairs_do_not_depend_on_tasks(spark):
             spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
+def test_html_pages_with_content_are_differenced(spark):
+    # cards that are articles on every page are template; a text that isn't shared stays, and so do shared lines of an article
+    cards = "<article><p>Card one</p></article><article><p>Card two</p></article>"
+    pages = [f"<body>{cards}<div>The long story number {i}, told on this page alone</div><div>All pages end so</div></body>" for i in range(3)]
+    pages += [f"<body><div>Hello</div><article><p>The same first line</p><p>What page {i} alone tells, at some length</p></article></body>" for i in range(3)]
+    pages += [f"<body><nav>Menu</nav><article><p>A whole copy</p></article><div>x {i}</div></body>" for i in range(2)]
+    data = [(i, f"http://{'abc'[i // 3]}.com/{i}", page) for i, page in enumerate(pages)]
+    got = {x.page_id: x.text for x in html.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    want = {i: f"The long story number {i}, told on this page alone" for i in range(3)}
+    want |= {i + 3: f"The same first line What page {i} alone tells, at some length" for i in range(3)} | {6: "A whole copy", 7: "A whole copy"}
+    assert got == want
+
+
 def test_common_subsequence():
     def longest(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
