@@ -1,30 +1,22 @@
-"""JSON values as trees of rows: canonical encoding of parameters, and the violations of a schema."""
+"""JSON values: canonical encoding of parameters, and the violations of a schema."""
 
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
+from math import copysign
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import script_number, utf16_length
-from .stored import stored
-
 #: A key that scripts list before others, in order of its number.
-INDEX = r"^(?:0|[1-9]\d{0,9})$"
+INDEX = re.compile(r"(?:0|[1-9][0-9]{0,9})")
 LAST_INDEX = 4294967294
 #: Rows of a schema check: violations, and values that are still to be looked into.
 ROWS = "array<struct<path:string,problem:string,v:variant,node:int>>"
 
 
-def signed_zeros(text: Column) -> Column:
-    """JSON with -0 written as -0.0 outside of strings, as readers drop the sign of an integer. Raw control characters can't be in JSON, so two of them stand for escapes meanwhile."""
-    held = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
-    parts = F.transform(F.split(held, '"', -1), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, r"-0(?![0-9.eE])", "-0.0")).otherwise(x))
-    return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
-
-
 def _kind(text: Column) -> Column:
     """What a value is, by the first character of its JSON."""
     head = F.left(text, F.lit(1))
@@ -32,61 +24,85 @@ def _kind(text: Column) -> Column:
     return F.coalesce(*[F.when(head == k, v) for k, v in names.items()], F.lit("number"))
 
 
-def _children(rows: DataFrame) -> DataFrame:
-    """rows(id, place, kind, text) of arrays and objects -> a row for each element or member, in the order in which scripts list them."""
-    array = F.col("kind") == "array"
-    plain = F.arrays_zip(F.from_json("text", "array<variant>").alias("v"), F.from_json("text", "array<string>").alias("s"))
-    listed = F.transform(plain, lambda x, i: F.struct(F.lit(None).cast("string").alias("key"), x["v"].alias("v"), x["s"].alias("s"), F.lit(1).alias("class"), i.cast("long").alias("at")))
-    values, texts = F.from_json("text", "map<string,variant>"), F.from_json("text", "map<string,string>")
-    keys = F.map_keys(texts)
-    index = lambda k: F.coalesce(F.when(k.rlike(INDEX), k.try_cast("long")), F.lit(LAST_INDEX + 1)) <= LAST_INDEX
-    named = F.transform(F.arrays_zip(keys.alias("k"), F.map_values(values).alias("v"), F.map_values(texts).alias("s")), lambda x, i: F.struct(
-        x["k"].alias("key"), x["v"].alias("v"), x["s"].alias("s"), F.when(index(x["k"]), 0).otherwise(1).alias("class"), F.when(index(x["k"]), x["k"].try_cast("long")).otherwise(i.cast("long")).alias("at")))
-    some = rows.withColumn("x", F.explode(F.when(array, listed).otherwise(named)))
-    # a place is the way from the root, each step of one width, so that it sorts as text
-    step = F.concat(F.col("x.class").cast("string"), F.lpad(F.hex("x.at"), 9, "0"))
-    kind = _kind(F.to_json("x.v"))
-    text = F.when(kind == "string", F.expr("try_variant_get(x.v, '$', 'string')")).when(kind == "null", F.lit(None)).otherwise(F.col("x.s"))
-    return some.select("id", F.concat("place", step).alias("place"), F.col("x.key").alias("key"), kind.alias("kind"), text.alias("text"))
-
-
-def value_nodes(values: DataFrame) -> DataFrame:
-    """values(id, json) -> id, place, key, kind, text: the nodes of each value, a level at a time, as many rounds as values are deep. Text that isn't JSON, or repeats a key of an object, has none."""
-    root = values.select("id", F.lit("").alias("place"), F.lit("array").alias("kind"), F.concat(F.lit("["), signed_zeros(F.col("json")), F.lit("]")).alias("text"))
-    level = stored(_children(root.where(F.size(F.from_json("text", "array<variant>")) == 1)), "values")
-    nodes, deep = level, F.col("kind").isin("array", "object")
-    while level.where(deep).limit(1).count():
-        level = stored(_children(level.where(deep)), "values")
-        nodes = nodes.unionByName(level)
-    return nodes
-
-
-def encoded(tag: str, *parts: Column) -> Column:
-    return F.concat(F.lit(tag), *[x for p in parts for x in (F.lit(":"), p)])
+def number_text(x: float) -> str:
+    """A double as scripts print it, but with the sign of a zero."""
+    if x == 0:
+        return "-0" if copysign(1, x) < 0 else "0"
+    if x.is_integer() and abs(x) < 1 << 53:
+        return str(int(x))
+    sign, whole, part, power = re.fullmatch(r"(-?)(\d+|inf)\.?(\d*)(?:e(.*))?", repr(x)).groups()
+    if whole == "inf":
+        return f"{sign}Infinity"
+    led = (whole + part).lstrip("0")
+    digits, point = led.rstrip("0"), int(power or 0) - len(part) + len(led)
+    if -6 < point <= 21:
+        return sign + (digits.ljust(point, "0") if point >= len(digits) else f"{digits[:point]}.{digits[point:]}" if point > 0 else f"0.{'0' * -point}{digits}")
+    return f"{sign}{digits[0]}{'.' if digits[1:] else ''}{digits[1:]}e{point - 1:+d}"
+
+
+def _text(x: str) -> str:
+    """A string behind its length in code units. Halves of surrogate pairs that stand alone can't be written."""
+    units = x.encode("utf-16-le", "surrogatepass")
+    return f"{len(units) // 2}:{x if x.isascii() else units.decode('utf-16-le', 'replace')}"
+
+
+def _member_order(member: tuple) -> int:
+    """Keys that are numbers come first, the others stay in their order."""
+    return int(member[0]) if INDEX.fullmatch(member[0]) and int(member[0]) <= LAST_INDEX else LAST_INDEX + 1
+
+
+def _object(members: list[tuple]) -> dict:
+    found = dict(members)
+    if len(found) < len(members):
+        raise ValueError("a key is repeated")
+    return found
+
+
+def _no_number(text: str):
+    raise ValueError(text)
+
+
+def encoding(text: str | None) -> str | None:
+    """The canonical encoding of a JSON text, in time linear in it; None where it is no JSON, repeats a key of an object or is nested too deeply for the parser."""
+    try:
+        value = json.loads(text or "", parse_int=float, parse_constant=_no_number, object_pairs_hook=_object)
+    except (ValueError, RecursionError):
+        return None
+    out, left = [], [value]
+    while left:
+        x = left.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, str):
+            out.append(f"string:{_text(x)};")
+        elif isinstance(x, float):
+            out.append(f"number:{number_text(x)};")
+        elif isinstance(x, list):
+            out.append(f"array:{len(x)}[")
+            left += [("]",), *reversed(x)]
+        elif isinstance(x, dict):
+            out.append("object:")
+            left.append((";",))
+            for k, v in reversed(sorted(x.items(), key=_member_order)):
+                left += [v, (f"key:{_text(k)}:",)]
+        else:
+            out.append("null;" if x is None else f"boolean:{x:d};")
+    return "".join(out)
+
+
+def _encoded(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([encoding(x) for x in batch.column("json").to_pylist()], pa.string())], ["id", "encoding"])
 
 
 def canonical_values(values: DataFrame) -> DataFrame:
     """values(id, json) -> id, encoding, hash: type tags, lengths before texts, keys in the order in which scripts list them, -0 kept; null where json is none.
 
-    Every node gives an opening and, if others stand in it, a closing token. Sorted by place they are the encoding, so
-    one aggregate builds it and no level waits for another."""
-    nodes = value_nodes(values)
-    sizes = nodes.where("length(place) > 10").groupBy("id", F.expr("left(place, length(place) - 10)").alias("place")).agg(F.count("*").cast("string").alias("size"))
-    number = F.col("text").try_cast("double")
-    kinds = {
-        "null": F.lit("null;"), "string": F.concat(encoded("string", utf16_length(F.col("text")).cast("string"), F.col("text")), F.lit(";")), "boolean": F.when(F.col("text") == "true", "boolean:1;").otherwise("boolean:0;"),
-        # only the sign of a zero is lost when numbers are compared
-        "number": F.concat(F.lit("number:"), F.when((number == 0) & F.col("text").startswith("-"), "-0").otherwise(script_number(number)), F.lit(";")),
-        "array": F.concat(F.lit("array:"), F.coalesce("size", F.lit("0")), F.lit("[")), "object": F.lit("object:"),
-    }
-    own = F.coalesce(*[F.when(F.col("kind") == k, c) for k, c in kinds.items()])
-    key = F.when(F.col("key").isNotNull(), F.concat(encoded("key", utf16_length(F.col("key")).cast("string"), F.col("key")), F.lit(":"))).otherwise("")
-    token = lambda place, text: F.struct(place.alias("place"), text.alias("text"))
-    opening = token(F.col("place"), F.concat(key, own))
-    closing = token(F.concat("place", F.lit("~")), F.when(F.col("kind") == "array", "]").otherwise(";"))
-    tokens = nodes.join(sizes, ["id", "place"], "left").select("id", F.explode(F.when(F.col("kind").isin("array", "object"), F.array(opening, closing)).otherwise(F.array(opening))).alias("t"))
-    joined = tokens.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["text"]), "").alias("encoding"))
-    return values.select("id").join(joined, "id", "left").select("id", "encoding", F.sha2("encoding", 256).alias("hash"))
+    Each value is encoded where it is read: nothing is shuffled or written."""
+    rows = values.select("id", "json").mapInArrow(_encoded, f"id {values.schema['id'].dataType.simpleString()}, encoding string")
+    return rows.select("id", "encoding", F.sha2("encoding", 256).alias("hash"))
 
 
 def canonical_segments(segments: Column) -> Column:

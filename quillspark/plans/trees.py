@@ -21,7 +21,8 @@ _ENCODED = f"SELECT 'd' || doc_id AS id, 'object:key:1:t:' || (CASE WHEN text IS
 
 @registered(f"SELECT id, sha256(encoding) AS hash, length(encoding)::INT AS n_chars FROM ({_ENCODED}) e")
 def canonical_parameters(spark, sf_dir):
-    part = b.table(spark, sf_dir, "part")
+    # a file of parts is small for its values, so they are dealt to tasks
+    part = b.table(spark, sf_dir, "part").repartition(64, "p_partkey")
     texts = b.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.to_json(F.struct(F.col("text").alias("t")), {"ignoreNullFields": "false"}).alias("json"))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":(.*)\}$', 1)
     nested = F.concat(

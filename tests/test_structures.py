@@ -157,6 +157,15 @@ def test_canonical_values(spark):
     assert rows.select(values.canonical_segments(F.col("x"))).first()[0] == encode([[1, "a"], [None]])
 
 
+def test_canonical_values_are_encoded_in_one_pass(spark):
+    texts = ['{"b":1,"10":[],"4294967295":2,"9":{"a":{"a":1,"a":2}}}', '{"b":1,"10":[1e21,0.1,2E-7],"4294967295":2,"9":{}}', "[NaN]", "[1e23]", '"\\ud800"', "[" * 800 + "]" * 800, "{'a':1}", " [ ] "]
+    made = values.canonical_values(spark.createDataFrame(list(enumerate(texts)), "id int, json string"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.encoding for r in made.collect()}
+    object_ = "object:key:1:9:object:;key:2:10:array:3[number:1e+21;number:0.1;number:2e-7;]key:1:b:number:1;key:10:4294967295:number:2;;"
+    assert got == {0: None, 1: object_, 2: None, 3: "array:1[number:1e+23;]", 4: "string:1:\ufffd;", 5: "array:1[" * 799 + "array:0[" + "]" * 800, 6: None, 7: "array:0[]"}
+
+
 def test_schema_violations(spark):
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer"}, "b": {"type": ["array", "null"], "items": {"enum": [1, "x", None]}}, "c.d": {"type": "boolean"}}}
     texts = ['{"a": 1, "b": [1, "x", null], "c.d": true}', '{"b": null}', '{"a": 1.5, "z": {}, "b": [2, [], 1]}', "[]", "nope", None, '{"a": 1.0, "b": "no", "c.d": 0}', "null"]
