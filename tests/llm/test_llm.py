@@ -235,6 +235,50 @@ def test_lines_distances_and_counts(spark):
     assert any(not x.may for x in out) and any(x.may and not x.want for x in out)
 
 
+def test_lines_bounds_of_distances(spark):
+    from pyspark.sql import functions as F
+
+    # what exchanging words takes is never less than a distance and settles most lines that are alike; ends never rule out a line that is alike, and settle most others
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9)))
+    alike, others = [], []
+    for n in (5, 12, 40, 90):
+        for _ in range(12):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for _ in range(max(n // 12, 1)):
+                at = r.randrange(len(b))
+                b[at : at + r.randint(0, 1)] = [word() for _ in range(r.randint(0, 1))]
+            alike.append((" ".join(a), " ".join(b)))
+            others.append((" ".join(a), " ".join([*a[: n // 5], *(word() for _ in range(n - n // 5))])))
+    d = spark.createDataFrame(alike + others + [("", "a b"), ("a", ""), ("a b", "a b")], "x string, y string").repartition(4)
+    most = lines.most_edits(F.greatest(F.length("x"), F.length("y")))
+    out = d.select(F.levenshtein("x", "y").alias("d"), most.alias("most"), lines.exchanged_words("x", "y").alias("c"), lines.ends_allow("x", "y", most).alias("may"), lines.alike("x", "y").alias("alike")).collect()
+    assert all(x.c >= x.d and (x.may or x.d > x.most) and x.alike == (x.d <= x.most) for x in out)
+    links = [x for x in out if x.alike]
+    assert sum(x.c <= x.most for x in links) >= 0.8 * len(links) > 20
+    assert sum(not x.may for x in out if not x.alike) >= 0.8 * (len(out) - len(links)) > 20
+
+
+def test_lines_codes_that_differ(spark):
+    # codes are counted byte by byte, the last one too
+    cols = [f"{x}{c}" for x in "uv" for c in ("n", "h", *lines.CODES)]
+    r = random.Random(12)
+    longs = lambda bs: [int.from_bytes(bs[i : i + 8], "little", signed=True) for i in range(0, len(bs), 8)]
+    data, want = [], []
+    for same in (0, 5, 6, 7, 64):
+        for _ in range(20):
+            a = bytes(r.randrange(256) for _ in range(8 * len(lines.CODES)))
+            keep = set(r.sample(range(len(a)), same))
+            b = bytes(x if i in keep else (x + r.randrange(1, 256)) % 256 for i, x in enumerate(a))
+            data.append((100, 0, *longs(a), 100, -1, *longs(b)))
+            want.append(same >= lines.MATCH)
+    df = spark.createDataFrame(data, ", ".join(f"{c} long" for c in cols)).coalesce(1)
+    assert [x[0] for x in df.select(lines.may_be_alike("u", "v")).collect()] == want
+    # a longer condition is not compiled by the JVM, which made the comparisons of a key's members fifty times as slow
+    assert len(str(lines.may_be_alike("u", "v"))) < 8_000
+
+
 def test_lines_without_spaces(spark):
     r = random.Random(9)
     han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(40))
