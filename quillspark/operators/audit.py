@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import epoch_millis
 
 SKIPS = ("skip", "todo", "evidence-unavailable")
+#: Buckets that a window of time is dealt into, and buckets whose sums are added up in one task.
+TURNS, RUN = 64, 10_000
 
 
 def skip_reason(modifiers: Column, has_bundle: Column) -> Column:
@@ -117,10 +119,24 @@ def progress_marks(rows: DataFrame, total: int) -> DataFrame:
 
 
 def tokens_within(log: DataFrame, ms: int) -> DataFrame:
-    """id, tokens: tokens of all requests in the window of time that ends with each. Time is dealt into buckets of the window's length; a request only needs its own bucket and the one before, so no task holds all requests. Requests without a time are each other's window: one sum."""
-    rows = log.select("id", "tokens", epoch_millis(F.col("ts")).alias("at")).withColumn("bucket", F.floor(F.col("at") / ms))
+    """id, tokens: tokens (whole numbers) of all requests in the window of time that ends with each. Requests without a time are each other's window: one sum.
+
+    A request's tokens come in at its time and go out when a window's length is over, so a window is a running sum of what came and went, and no request looks at the others of its window. Time is dealt into TURNS buckets for a window's length; what stands at a bucket's beginning is summed up over the buckets before it, so no task holds all requests."""
+    rows = log.select("id", "tokens", epoch_millis(F.col("ts")).alias("at"))
     timeless, rows = rows.where("at IS NULL"), rows.where("at IS NOT NULL")
-    both = rows.withColumn("own", F.lit(True)).unionByName(rows.withColumns({"bucket": F.col("bucket") + 1, "own": F.lit(False)}))
-    frame = Window.partitionBy("bucket").orderBy("at").rangeBetween(-(ms - 1), 0)
-    timed = both.withColumn("spent", F.sum("tokens").over(frame)).where("own").select("id", F.col("spent").alias("tokens"))
+    known = F.when(F.col("tokens").isNull(), 0).otherwise(1).cast("long")
+    tokens = F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long"))
+    came = rows.select("id", "at", tokens.alias("tokens"), known.alias("known"), F.lit(True).alias("own"))
+    went = rows.select(F.lit(None).cast(log.schema["id"].dataType).alias("id"), (F.col("at") + ms).alias("at"), (-tokens).alias("tokens"), (-known).alias("known"), F.lit(False).alias("own"))
+    both = came.unionByName(went).withColumn("bucket", F.floor(F.col("at") / max(1, ms // TURNS)))
+    # what stands at the beginning of a run of buckets, then of a bucket: rows that come before all others of theirs
+    sums = both.groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).withColumn("run", F.floor(F.col("bucket") / RUN))
+    runs = sums.groupBy("run").agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known"))
+    before = lambda w, *keep: [*keep, *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(c) for c in ("tokens", "known")]]
+    starts = runs.select(*before(Window.orderBy("run"), "run"), F.lit(None).cast("long").alias("bucket"))
+    stands = sums.unionByName(starts).select(*before(Window.partitionBy("run").orderBy(F.col("bucket").asc_nulls_first()), "bucket")).where("bucket IS NOT NULL AND tokens IS NOT NULL")
+    stands = stands.select(F.lit(None).cast(log.schema["id"].dataType).alias("id"), F.lit(None).cast("long").alias("at"), "tokens", "known", F.lit(False).alias("own"), "bucket")
+    running = Window.partitionBy("bucket").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.unionByName(stands).select("id", "own", F.sum("tokens").over(running).alias("spent"), F.sum("known").over(running).alias("known"))
+    timed = summed.where("own").select("id", F.when(F.col("known") > 0, F.col("spent")).alias("tokens"))
     return timed.unionByName(timeless.select("id").crossJoin(timeless.agg(F.sum("tokens").alias("tokens"))))

@@ -347,6 +347,25 @@ def test_windows_round_to_milliseconds(spark):
     assert {r.id: r.tokens for r in audit.tokens_within(log, 1000).collect()} == {1: 11, 2: 11, 3: 111, 4: 11000, 5: 11000, 6: 1100000, 7: 1100000}
 
 
+def test_token_windows_are_running_sums(spark):
+    import datetime
+    import random
+
+    # a frame with a lower bound would be summed anew for each request of a busy hour
+    r = random.Random(4)
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    data = [(i, r.choice([None, 0, 1, 5, -3, 10**12]), r.choice([None, *range(0, 9000, 100), *range(-50, 50)])) for i in range(600)]
+    log = spark.createDataFrame([(i, n, None if t is None else start + datetime.timedelta(milliseconds=t)) for i, n, t in data], "id long, tokens long, ts timestamp")
+    for ms in (1, 10, 100, 1000, 6400):
+        df = audit.tokens_within(log, ms)
+        want = {}
+        for i, _, t in data:
+            window = [n for _, n, x in data if n is not None and (x is None if t is None else x is not None and t - ms < x <= t)]
+            want[i] = sum(window) if window else None
+        assert {x.id: x.tokens for x in df.collect()} == want
+    assert f"RangeFrame, -{ms - 1}" not in df._jdf.queryExecution().toString()
+
+
 def test_probed_without_broadcast(spark):
     files = ["a.js", "a.ts", "b.tsx", "b.mts", "c/index.cjs", "c.tsx", ".ts", "d.jsx/index.ts", "d.tsx", "e", "e.ts", None]
     asked = ["a.js", "a.js", "a", "b.js", "b.mjs", "b", "c", "", "d.jsx", "e", "x", None]
