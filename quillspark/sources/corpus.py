@@ -67,11 +67,12 @@ def corpus_cases(files: DataFrame) -> DataFrame:
     """folder, id, operator, files, problem of every case: how many files its manifest names, and what is wrong with the manifest, else missing:<the first file that its folder lacks>. Of cases with one id all but the first folder's are repeated."""
     known = stored(manifests(files), "cases")
     named = known.where("problem IS NULL").select("folder", F.posexplode(F.array_distinct(F.concat(F.array("testFile"), "productionFiles"))).alias("at", "file"))
-    there = files.select("path", F.lit(True).alias("there"))
+    # how many paths there are is not told by the size of what they come from, so they aren't sent to the driver as a small table
+    there = files.select("path", F.lit(True).alias("there")).hint("merge")
     path = F.when(F.col("folder") == "", F.col("file")).otherwise(F.concat_ws("/", "folder", "file"))
     checked = named.withColumn("path", path).join(there, "path", "left")
     per = checked.groupBy("folder").agg(F.count("*").alias("files"), F.min(F.when(F.col("there").isNull(), F.struct("at", "file"))).alias("missing"))
     first = known.where("problem IS NULL").groupBy("id").agg(F.min("folder").alias("first"))
-    rows = known.join(per, "folder", "left").join(first, "id", "left")
+    rows = known.join(per.hint("merge"), "folder", "left").join(first.hint("merge"), "id", "left")
     problem = F.coalesce("problem", F.when(F.col("missing").isNotNull(), F.concat(F.lit("missing:"), F.col("missing.file"))), F.when(F.col("folder") != F.col("first"), "repeated-id"))
     return rows.select("folder", "id", "operator", F.coalesce("files", F.lit(0).cast("long")).alias("files"), problem.alias("problem"))
